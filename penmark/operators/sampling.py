@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penmark.functions.hashing import hash_hex, hash_key
+from penmark.physical import localize
 
 CELL_BITS = 16  # the 32-bit hash range is cut into 2**16 cells per class
 
@@ -28,7 +29,7 @@ def class_cuts(df: DataFrame, col: str, frac: float, seed: int, key: str = "doc_
     cells = hashed.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n"))
     by_class = Window.partitionBy("cls")
     running = by_class.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut_cells = (
+    cut_cells = localize(
         cells.withColumn("upto", F.sum("n").over(running))
         .withColumn("take", F.bround(F.lit(frac) * F.sum("n").over(by_class), 0).cast("bigint"))
         .where("upto - n < take AND take <= upto")
@@ -36,7 +37,7 @@ def class_cuts(df: DataFrame, col: str, frac: float, seed: int, key: str = "doc_
     )
     in_cell = Window.partitionBy("cls", "cell").orderBy("u", "k")
     return (
-        hashed.join(F.broadcast(cut_cells), ["cls", "cell"])
+        hashed.join(cut_cells, ["cls", "cell"])
         .withColumn("rn", F.row_number().over(in_cell))
         .where("rn = rank_in_cell")
         .select("cls", F.col("u").alias("cut_u"), F.col("k").alias("cut_k"))
@@ -44,9 +45,10 @@ def class_cuts(df: DataFrame, col: str, frac: float, seed: int, key: str = "doc_
 
 
 def _flag(df: DataFrame, col: str, frac: float, seed: int, key: str) -> tuple[DataFrame, Column]:
-    """Rows with their class's cut attached (one row per class, broadcast) and the test whether
-    a row is below it.  The rows themselves are not shuffled."""
-    cuts = F.broadcast(class_cuts(df, col, frac, seed, key))
+    """Rows with their class's cut attached and the test whether a row is below it.  The cuts
+    (one row per class) are computed once and are constants in every later plan; the rows
+    themselves are not shuffled."""
+    cuts = localize(class_cuts(df, col, frac, seed, key))
     u = hash_key(F.col(key), seed)
     below = (u < F.col("cut_u")) | ((u == F.col("cut_u")) & (F.col(key) <= F.col("cut_k")))
     joined = df.where(F.col(col).isNotNull()).join(cuts, F.col(col) == F.col("cls"), "left")

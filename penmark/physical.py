@@ -1,12 +1,16 @@
-"""Physical helpers: size-checked broadcast and keys that keep non-matching rows spread out."""
+"""Physical helpers: size-checked broadcast, bounded driver-side tables, spread-out join keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast lookup table may hold at most this many rows (about 100 MB of short strings).
 MAX_BROADCAST_ROWS = 1_000_000
+# A table whose rows pass through the driver as model parameters may hold at most this many.
+MAX_LOCAL_ROWS = 100_000
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
@@ -20,10 +24,39 @@ def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Data
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
-def spread_unmatched(key: Column, can_match: Column, row_id: Column) -> Column:
-    """Join key that sends rows which cannot match to many partitions instead of one.
+def localize(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """Run ``df`` once and return it as a small constant table with a broadcast hint.
+
+    Meant for per-class, per-bin or per-feature tables that later steps read several times.
+    A table that turns out larger than ``max_rows`` is returned unchanged and without hint."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def collect_top(df: DataFrame, order: Sequence[Column], m: int) -> list[Row]:
+    """The first ``m`` rows in the given order.
+
+    ``coalesce`` above the limit makes the tasks' candidates meet in one streaming task
+    instead of in the driver, which then receives ``m`` rows and not ``m`` per task."""
+    return df.orderBy(*order).limit(m).coalesce(1).collect()
+
+
+def spread_unmatched(key: Column, can_match: Column, *row_id: Column) -> Column:
+    """Non-negative integer join key that sends rows which cannot match to many partitions.
 
     A left join hashes all rows with the same key (for example null) to one task.  Rows known
-    not to match get a private key that no lookup row carries (it starts with a blank, and
-    tokens never contain blanks)."""
-    return F.when(can_match, key).otherwise(F.concat(F.lit(" "), row_id.cast("string")))
+    not to match get a private negative key that no lookup row carries."""
+    private = -1 - F.pmod(F.xxhash64(*row_id), F.lit(1 << 40))
+    return F.when(can_match, key.cast("bigint")).otherwise(private)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Redistribute an input that has fewer splits than the session has cores (one small file),
+    so that row-local work uses them all.  An input with enough splits is returned as is."""
+    spark: SparkSession = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
