@@ -18,10 +18,11 @@ from penmark.operators import features as FT
 from penmark.operators import joins as J
 from penmark.operators import reshape as R
 from penmark.plans import sql as Q
+from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, labelled, rounded, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 
 c = F.col
 ANN = G.annotation(c("sentences"))
@@ -98,16 +99,6 @@ for _name, (_make, _sql) in _PER_DOCUMENT.items():
     SQL[_name] = f"WITH {Q.tokens()} SELECT doc_id, round(({_sql})::double, 6)::{_type} AS {_name} FROM tok"
 
 
-def query(sql: str | None = None) -> Callable:
-    def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return register
-
-
 @query(
     f"WITH {Q.tokens()} SELECT doc_id, len(words)::bigint AS n_words, len(alpha)::bigint AS n_alpha,"
     " len(marks)::bigint AS n_marks, len(terms)::bigint AS n_terms, len(sentences)::bigint AS n_sentences FROM tok"
