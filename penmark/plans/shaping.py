@@ -41,7 +41,7 @@ def csv_round_trip(spark, sf_dir):
     docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
-    return io.read_csv(spark, path, docs.schema)
+    return io.read_csv(spark, path, docs.schema, multi_line=True)
 
 
 _PREDICTION_SQL = f"""

@@ -26,9 +26,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header row and a declared schema; quoted fields may span lines."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with a header row and a declared schema.  ``multi_line`` allows line breaks inside
+    quoted fields; such files cannot be split, so keep it off for large single files."""
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    return reader.option("multiLine", multi_line).csv(path)
 
 
 def config_slug(variant: str | Column, classifier: str | Column) -> Column:
