@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from penmark.operators.reshape import pad_vectors, parse_vector_column, vector_width
 from penmark.operators.svd import SvdModel, svd_reduce
 from penmark.operators.tfidf import TfidfModel, fit_tfidf
+from penmark.session import materialize
 
 BLOCK_ORDER = ["style", "feat", "pplx", "tfidf"]
 
@@ -138,12 +139,11 @@ def fit_blocks(
         tfidf = fit_tfidf(train.select("doc_id", text), text, max_features=max_features, min_df=min_df)
         svd = svd_reduce(tfidf.transform(train.select("doc_id", text), text), k=svd_components)
     model = BlockModel(tfidf, svd, widths)
-    raw = model.raw(train, text or "text").persist()
+    raw = materialize(model.raw(train, text or "text"))
     for block in given + (["tfidf"] if text is not None else []):
         model.scalers[block] = StandardizeBlock.fit(raw, block)
         scaled = model.scalers[block].transform(raw.select(block), block)
         model.imputers[block] = ImputeMean.fit(scaled, block)
-    raw.unpersist()
     return model
 
 
