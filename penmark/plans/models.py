@@ -19,7 +19,7 @@ from penmark.operators.sampling import with_split
 from penmark.operators.svd import svd_reduce
 from penmark.operators.tfidf import fit_tfidf
 from penmark.plans.registry import Registry
-from penmark.plans.tables import documents, labelled, rounded, scratch, table
+from penmark.plans.tables import documents, rounded, scratch, table
 from penmark.session import materialize
 from penmark.sources import io
 
@@ -33,25 +33,37 @@ POS_KEYS = [f"prop_{t}" for t in ("NOUN", "VERB", "ADJ", "ADV", "DET", "PRON", "
 FEATURE_COLUMNS = [s for s in SCALARS if s != "unusual_word_ratio"] + POS_KEYS
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with their linguistic features as columns."""
-    docs = labelled(spark, sf_dir)
-    record = linguistic_features(docs, keep=["label"])
-    wide = widen_map(record.select("doc_id", "label", *[f"`{s}`" for s in SCALARS], "pos_shares"), "pos_shares", POS_KEYS)
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with their split.  The split only needs key and label, so it is made on
+    the label table before any text is read."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", c("quality").cast("int").alias("label"))
+    return documents(spark, sf_dir).join(with_split(labels), "doc_id")
+
+
+def feature_table(docs: DataFrame) -> DataFrame:
+    """Linguistic features as columns."""
+    record = linguistic_features(docs, keep=["label", "split"])
+    scalars = [f"`{s}`" for s in SCALARS]
+    wide = widen_map(record.select("doc_id", "label", "split", *scalars, "pos_shares"), "pos_shares", POS_KEYS)
     return wide.drop("unusual_word_ratio")
 
 
 def splits(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    marked = materialize(with_split(df))
-    return tuple(marked.where(c("split") == s).drop("split") for s in ("train", "test"))
+    """(train, test), written once: every later fit reads files."""
+    stored = materialize(df)
+    return tuple(stored.where(c("split") == s).drop("split") for s in ("train", "test"))
+
+
+def feature_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return splits(feature_table(split_documents(spark, sf_dir)))
 
 
 def block_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(train, test) with text and the three numeric blocks, not yet scaled."""
-    docs = labelled(spark, sf_dir)
-    feats = pack_features(feature_table(spark, sf_dir), FEATURE_COLUMNS, "feat").select("doc_id", "feat")
+    docs = split_documents(spark, sf_dir)
+    feats = pack_features(feature_table(docs), FEATURE_COLUMNS, "feat").select("doc_id", "feat")
     ppl = perplexity(docs, fit_ngram_lm(documents(spark, sf_dir), vocab_size=20_000))
-    styled = Y.style_vectors(docs, keep=["label", "text"])
+    styled = Y.style_vectors(docs, keep=["label", "split", "text"])
     joined = styled.join(feats, "doc_id").join(ppl.withColumnRenamed("perplexity", "pplx"), "doc_id")
     return splits(joined.withColumn("pplx", F.coalesce("pplx", F.lit(float("nan")))))
 
@@ -139,12 +151,12 @@ def build_blocks(spark, sf_dir):
 
 @query()
 def rf_importances(spark, sf_dir):
-    train, _ = splits(feature_table(spark, sf_dir))
+    train, _ = feature_splits(spark, sf_dir)
     return rounded(SE.rf_importances(train, FEATURE_COLUMNS, trees=TREES, max_depth=DEPTH))
 
 
 def _selection(spark, sf_dir):
-    train, test = splits(feature_table(spark, sf_dir))
+    train, test = feature_splits(spark, sf_dir)
     return train, test, SE.select_features(train, FEATURE_COLUMNS, trees=TREES, max_depth=DEPTH)
 
 
@@ -168,7 +180,8 @@ def selection_accuracy(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    train, test = splits(pack_features(feature_table(spark, sf_dir), FEATURE_COLUMNS, "feat").select("doc_id", "label", "feat"))
+    packed = pack_features(feature_table(split_documents(spark, sf_dir)), FEATURE_COLUMNS, "feat")
+    train, test = splits(packed.select("doc_id", "label", "split", "feat"))
     train, test, _ = B.build_blocks(train, test, text=None)
     flags = {"feat": True}
     return B.concat_blocks(train, flags).select("doc_id", "label", "features"), B.concat_blocks(test, flags)
