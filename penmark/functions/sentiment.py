@@ -25,18 +25,17 @@ def sentiment(marks: Column, levels: Levels = SENTIMENT) -> Column:
     multiplies it by 1.3, and the product stays within -1 and 1."""
 
     def score(tokens: Column, t: Column, i: Column) -> Column:
-        polarity = F.lit(None).cast("double")
-        subjectivity = F.lit(None).cast("double")
-        for p, s, listed in reversed(levels):
-            polarity = F.when(t.isin(listed), F.lit(p)).otherwise(polarity)
-            subjectivity = F.when(t.isin(listed), F.lit(s)).otherwise(subjectivity)
+        level = F.lit(None).cast("struct<p:double,s:double>")
+        for p, s, words in reversed(levels):
+            here = F.struct(F.lit(float(p)).alias("p"), F.lit(float(s)).alias("s"))
+            level = F.when(t.isin(words), here).otherwise(level)
         one, two = F.get(tokens, i - 1), F.get(tokens, i - 2)
         negated = F.coalesce(one.isin(NEGATORS), F.lit(False)) | F.coalesce(two.isin(NEGATORS), F.lit(False))
         factor = F.when(negated, F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0)) * F.when(
             one.isin(INTENSIFIERS), F.lit(INTENSITY_FACTOR)
         ).otherwise(F.lit(1.0))
-        clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), polarity * factor))
-        return F.struct(clipped.alias("p"), subjectivity.alias("s"))
+        clipped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), level["p"] * factor))
+        return F.struct(clipped.alias("p"), level["s"].alias("s"))
 
     listed = [w for _, _, ws in levels for w in ws]
 

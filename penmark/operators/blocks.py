@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -30,7 +31,8 @@ def _column_stats(df: DataFrame, col: str) -> list[tuple[int, float | None, floa
 
 
 def _constants(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+    """Array literal; folded to a constant before execution."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
 
 @dataclass
