@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penmark.operators.joins import pair_predictions
 from penmark.operators.ranking import bonferroni, holm, value_cell
@@ -23,7 +24,7 @@ def threshold_labels(preds: DataFrame, threshold: float = 0.5, prob: str = "pred
     return preds.withColumn("predicted_label", (F.col(prob) > threshold).cast("int"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value; runs on one row per compared pair."""
     return z.map(lambda v: None if v is None or math.isnan(v) else math.erfc(abs(v) / math.sqrt(2.0)))

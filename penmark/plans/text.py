@@ -25,8 +25,12 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 c = F.col
-ANN = G.annotation(c("sentences"))
-COUNTS = C.connector_counts(c("stripped"), CONNECTORS)
+
+
+def _ann() -> Column:
+    return G.annotation(c("sentences"))
+
+
 
 # name -> (column expression over the token table, SQL expression over ``tok``)
 _PER_DOCUMENT: dict[str, tuple[Callable[[], Column], str]] = {
@@ -176,7 +180,7 @@ FROM sums JOIN tok USING (doc_id)"""
 @query(_CONNECTOR_SUMS)
 def connector_summary(spark, sf_dir):
     """Total, number of different, and density of connectors."""
-    t = FT.with_tokens(documents(spark, sf_dir)).withColumn("counts", COUNTS)
+    t = FT.with_tokens(documents(spark, sf_dir)).withColumn("counts", C.connector_counts(c("stripped"), CONNECTORS))
     total = C.total_connectors(c("counts"))
     return rounded(
         t.select(
@@ -208,14 +212,14 @@ SELECT doc_id, '{prefix}' || l AS feature, round(n::double / d, 6) AS value FROM
 @query(_SHARE_SQL.format(ann=Q.annotations(), label="pos", keep="true", prefix="prop_"))
 def pos_shares(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
-    shares = G.pos_shares(ANN, F.size("alpha"))
+    shares = G.pos_shares(_ann(), F.size("alpha"))
     return rounded(t.select("doc_id", F.explode(shares).alias("feature", "value")))
 
 
 @query(_SHARE_SQL.format(ann=Q.annotations(), label="token", keep="is_punct", prefix="punct_"))
 def punct_shares(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
-    shares = G.punct_shares(ANN, F.size("alpha"))
+    shares = G.punct_shares(_ann(), F.size("alpha"))
     return rounded(t.select("doc_id", F.explode(shares).alias("feature", "value")))
 
 
@@ -226,7 +230,7 @@ SELECT doc_id, round({Q.ratio("coalesce(k, 0)", "len(sentences)")}, 6) AS syntac
 )
 def syntactic_complexity(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
-    return rounded(t.select("doc_id", G.syntactic_complexity(ANN, F.size("sentences")).alias("syntactic_complexity")))
+    return rounded(t.select("doc_id", G.syntactic_complexity(_ann(), F.size("sentences")).alias("syntactic_complexity")))
 
 
 @query(
@@ -235,7 +239,7 @@ m AS (SELECT doc_id, max(k)::double / sum(k) AS r FROM n GROUP BY doc_id)
 SELECT doc_id, coalesce({Q.round2("r")}, 0) AS dep_repetition FROM tok LEFT JOIN m USING (doc_id)"""
 )
 def dep_repetition(spark, sf_dir):
-    return FT.with_tokens(documents(spark, sf_dir)).select("doc_id", G.dep_repetition(ANN).alias("dep_repetition"))
+    return FT.with_tokens(documents(spark, sf_dir)).select("doc_id", G.dep_repetition(_ann()).alias("dep_repetition"))
 
 
 @query(
