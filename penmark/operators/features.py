@@ -16,6 +16,7 @@ from penmark.functions import tagging as G
 from penmark.functions import tokens as K
 from penmark.functions.lexicon import CONNECTORS, FUNCTION_WORDS
 from penmark.operators.joins import unusual_words
+from penmark.physical import inline_computed
 
 ANNOTATION_SCHEMA = T.StructType(
     [
@@ -50,7 +51,7 @@ def annotate(df: DataFrame, text: str = "text", tagger: Tagger | None = None) ->
     source = df.select("doc_id", F.col(text).alias("text"))
     if tagger is not None:
         return source.mapInPandas(tagger, ANNOTATION_SCHEMA)
-    return source.select("doc_id", F.inline(G.annotation(K.sentences(F.col("text")))))
+    return inline_computed(source, G.annotation(K.sentences(F.col("text"))), "token", ["doc_id"])
 
 
 def with_tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -145,7 +146,7 @@ def long_features(features: DataFrame) -> DataFrame:
         )
         for f in FAMILIES
     ]
-    return features.select("doc_id", F.inline(F.concat(F.array(*pairs), *families)))
+    return inline_computed(features, F.concat(F.array(*pairs), *families), "feature", ["doc_id"])
 
 
 def annotation_features(ann: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from penmark.functions import connectors as C
 from penmark.functions import tokens as K
-from penmark.functions.arrays import ratio, round2
-from penmark.physical import MAX_BROADCAST_ROWS, broadcast_checked
+from penmark.functions.arrays import let, ratio, round2
+from penmark.physical import MAX_BROADCAST_ROWS, broadcast_checked, explode_computed
 
 
 def combine_features(base: DataFrame, *feature_tables: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,15 +60,15 @@ def unusual_words(
 def words_outside(df: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """The set difference itself: ``(doc_id, word)`` for distinct words that the lexicon lacks."""
     listed = broadcast_checked(lexicon.select(F.col(lexicon.columns[0]).alias("word")).distinct())
-    exploded = distinct_words(df, text).select("doc_id", F.explode("words").alias("word"))
+    exploded = explode_computed(distinct_words(df, text), F.col("words"), ["word"], ["doc_id"])
     return exploded.join(listed, "word", "left_anti").select("doc_id", "word")
 
 
 def connector_table(df: DataFrame, phrases: Sequence[str], text: str = "text") -> DataFrame:
     """``(doc_id, phrase, n)`` for every document and phrase.  Phrases are literals, so the
     product of documents and phrases is an inline array and not a join."""
-    counts = C.connector_counts(C.strip_symbols(F.col(text)), phrases)
-    return df.select("doc_id", F.explode(counts).alias("phrase", "n"))
+    counts = let(C.strip_symbols(F.col(text)), lambda stripped: C.connector_counts(stripped, phrases))
+    return explode_computed(df, counts, ["phrase", "n"], ["doc_id"])
 
 
 def selected_importances(importances: DataFrame, selected: DataFrame) -> DataFrame:

@@ -60,3 +60,24 @@ def spread_small(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def explode_computed(df: DataFrame, items: Column, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``explode`` of a computed array or map, one row per element.
+
+    For a plain explode the optimizer adds a "not empty" filter below it, which evaluates the
+    whole expression a second time; the outer form followed by a null test on the first output
+    column does not.  Elements must not be null."""
+    exploded = df.select(*keep, F.explode_outer(items).alias(*names))
+    return exploded.where(F.col(names[0]).isNotNull())
+
+
+def posexplode_computed(df: DataFrame, items: Column, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``explode_computed`` with positions from 0; null elements are kept."""
+    exploded = df.select(*keep, F.posexplode_outer(items).alias(*names))
+    return exploded.where(F.col(names[0]).isNotNull())
+
+
+def inline_computed(df: DataFrame, structs: Column, first: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``inline`` of a computed array of structs whose field ``first`` is never null."""
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(f"`{first}`").isNotNull())

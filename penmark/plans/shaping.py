@@ -10,6 +10,7 @@ from penmark.functions.lexicon import CLOSED_CLASS
 from penmark.operators import features as FT
 from penmark.operators import joins as J
 from penmark.operators import reshape as R
+from penmark.physical import explode_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
 from penmark.plans.stats import SCORED_SQL, model_scores
@@ -90,7 +91,7 @@ _TAGS = ", ".join(f"({Q.q(w)}, '{t}')" for t, ws in CLOSED_CLASS.items() for w i
 )
 def word_list_hits(spark, sf_dir):
     """Corpus counts of the words of a built-in list (a list of fixed, small size is broadcast)."""
-    words = documents(spark, sf_dir).select(F.explode(K.marks(c("text"))).alias("word"))
+    words = explode_computed(documents(spark, sf_dir), K.marks(c("text")), ["word"])
     listed = F.broadcast(io.word_list(spark, "closed_class"))
     return words.join(listed, "word").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("n"))
 

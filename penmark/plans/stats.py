@@ -21,6 +21,7 @@ from penmark.operators import sampling as P
 from penmark.operators import significance as Z
 from penmark.operators.ablation import VARIANTS, ablation_summary, f1_by_variant, order_results
 from penmark.operators.classify import CLASSIFIERS
+from penmark.physical import inline_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, labelled, rounded, table
@@ -68,7 +69,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for v, k, col in _score_columns()
     ]
-    scored = t.select("doc_id", "label", F.inline(F.array(*rows)))
+    scored = inline_computed(t, F.array(*rows), "variant", ["doc_id", "label"])
     return scored.withColumn("model", config_slug(c("variant"), c("classifier")))
 
 

@@ -10,6 +10,7 @@ from penmark.operators import style as Y
 from penmark.operators import zeroshot as ZS
 from penmark.operators.ngram_lm import fit_ngram_lm, perplexity
 from penmark.operators.tfidf import fit_tfidf
+from penmark.physical import posexplode_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, rounded, table
@@ -207,7 +208,7 @@ SELECT doc_id, pos::bigint AS pos, round(x, 6) AS value FROM u"""
 def style_vectors(spark, sf_dir):
     """Non-zero entries of the computed style vectors."""
     v = Y.style_vectors(documents(spark, sf_dir))
-    return rounded(v.select("doc_id", F.posexplode("style").alias("pos", "value")).where("value > 0"))
+    return rounded(posexplode_computed(v, c("style"), ["pos", "value"], ["doc_id"]).where("value > 0"))
 
 
 @query(

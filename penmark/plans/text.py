@@ -17,6 +17,7 @@ from penmark.functions.lexicon import CONNECTORS, FUNCTION_WORDS
 from penmark.operators import features as FT
 from penmark.operators import joins as J
 from penmark.operators import reshape as R
+from penmark.physical import explode_computed, posexplode_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, labelled, rounded, table
@@ -119,7 +120,7 @@ def token_streams(spark, sf_dir):
 )
 def token_bigrams(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
-    return rounded(t.select("doc_id", F.posexplode(ngrams(c("marks"), 2)).alias("pos", "ngram")))
+    return rounded(posexplode_computed(t, ngrams(c("marks"), 2), ["pos", "ngram"], ["doc_id"]))
 
 
 @query(
@@ -128,7 +129,7 @@ def token_bigrams(spark, sf_dir):
 )
 def sentence_lengths(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
-    return rounded(t.select("doc_id", F.posexplode(L.sentence_lengths(c("sentences"))).alias("sent_id", "n_tokens")))
+    return rounded(posexplode_computed(t, L.sentence_lengths(c("sentences")), ["sent_id", "n_tokens"], ["doc_id"]))
 
 
 @query(f"WITH {Q.tokens()}, {Q.ENTROPY} SELECT doc_id, coalesce({Q.round2('h')}, 0) AS lexical_entropy FROM tok LEFT JOIN ent USING (doc_id)")
@@ -213,14 +214,14 @@ SELECT doc_id, '{prefix}' || l AS feature, round(n::double / d, 6) AS value FROM
 def pos_shares(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
     shares = G.pos_shares(_ann(), F.size("alpha"))
-    return rounded(t.select("doc_id", F.explode(shares).alias("feature", "value")))
+    return rounded(explode_computed(t, shares, ["feature", "value"], ["doc_id"]))
 
 
 @query(_SHARE_SQL.format(ann=Q.annotations(), label="token", keep="is_punct", prefix="punct_"))
 def punct_shares(spark, sf_dir):
     t = FT.with_tokens(documents(spark, sf_dir))
     shares = G.punct_shares(_ann(), F.size("alpha"))
-    return rounded(t.select("doc_id", F.explode(shares).alias("feature", "value")))
+    return rounded(explode_computed(t, shares, ["feature", "value"], ["doc_id"]))
 
 
 @query(
@@ -276,7 +277,7 @@ lexicon AS (
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    w = turns.select(F.explode(F.array_distinct(K.words(F.lower("text")))).alias("word"))
+    w = explode_computed(turns, F.array_distinct(K.words(F.lower("text"))), ["word"])
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 20").select("word")
 
 
@@ -301,7 +302,7 @@ def words_outside_list(spark, sf_dir):
 
 @query(f"WITH {Q.tokens()} SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(words) AS word FROM tok)")
 def distinct_words(spark, sf_dir):
-    return J.distinct_words(documents(spark, sf_dir)).select("doc_id", F.explode("words").alias("word"))
+    return explode_computed(J.distinct_words(documents(spark, sf_dir)), c("words"), ["word"], ["doc_id"])
 
 
 # The whole record, long form, checked feature by feature.
