@@ -52,12 +52,14 @@ def spread_unmatched(key: Column, can_match: Column, *row_id: Column) -> Column:
     return F.when(can_match, key.cast("bigint")).otherwise(private)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Redistribute an input that has fewer splits than the session has cores (one small file),
-    so that row-local work uses them all.  An input with enough splits is returned as is."""
+def spread_small(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Redistribute rows when the scanned table has fewer splits than the session has cores (one
+    small file), so that row-local work uses them all.  A table with enough splits is left as it
+    is.  ``source`` is the table whose splits decide, when ``df`` is already a join: counting the
+    splits of a scan runs no job."""
     spark: SparkSession = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if (df if source is None else source).rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

@@ -18,6 +18,7 @@ from penmark.operators.reshape import pack_features, widen_map
 from penmark.operators.sampling import with_split
 from penmark.operators.svd import svd_reduce
 from penmark.operators.tfidf import fit_tfidf
+from penmark.physical import spread_small
 from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, rounded, scratch, table
 from penmark.session import materialize
@@ -37,7 +38,8 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with their split.  The split only needs key and label, so it is made on
     the label table before any text is read."""
     labels = table(spark, sf_dir, "labels").select("doc_id", c("quality").cast("int").alias("label"))
-    return documents(spark, sf_dir).join(with_split(labels), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small(docs.join(with_split(labels), "doc_id"), source=docs)
 
 
 def feature_table(docs: DataFrame) -> DataFrame:

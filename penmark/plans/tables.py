@@ -22,7 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
     """Documents that have a label, as ``(doc_id, text, label)``."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("label"))
-    return documents(spark, sf_dir).join(labels, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small(docs.join(labels, "doc_id"), source=docs)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
