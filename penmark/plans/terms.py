@@ -183,7 +183,21 @@ def zero_shot_confusion(spark, sf_dir):
     return rounded(matrix)
 
 
-@query()
+@query(
+    f"""WITH {_VERDICT_SQL},
+co AS (SELECT label, (prediction LIKE '%AI%')::int AS pred FROM ve),
+pc AS (
+  SELECT cls, count(*) FILTER (WHERE label = cls AND pred = cls)::double AS tp, count(*) FILTER (WHERE pred = cls)::double AS claimed,
+    count(*) FILTER (WHERE label = cls)::double AS support FROM co CROSS JOIN (VALUES (0), (1)) k(cls) GROUP BY cls),
+pr AS (
+  SELECT cls, tp, support, coalesce(tp / nullif(claimed, 0), 0) AS p, coalesce(tp / nullif(support, 0), 0) AS r,
+    coalesce(2 * tp / nullif(claimed + support, 0), 0) AS f FROM pc WHERE claimed > 0 OR support > 0)
+SELECT cls::varchar AS name, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support::bigint AS support FROM pr
+UNION ALL SELECT 'accuracy', round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), round(sum(tp) / sum(support), 6), sum(support)::bigint FROM pr
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f), 6), sum(support)::bigint FROM pr
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), round(sum(r * support) / sum(support), 6),
+  round(sum(f * support) / sum(support), 6), sum(support)::bigint FROM pr"""
+)
 def zero_shot_report(spark, sf_dir):
     report, _ = ZS.evaluate_zero_shot(_verdicts(spark, sf_dir))
     return rounded(report)

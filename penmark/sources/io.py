@@ -47,13 +47,9 @@ def slug(variant: str, classifier: str) -> str:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """One partition folder per configuration.  Rows are spread by configuration *and* a hash of
-    the key, so a configuration is written by several tasks and files stay few."""
-    parts = df.sparkSession.sparkContext.defaultParallelism
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, parts // 8)))
-    df.repartition(parts, "variant", "classifier", spread).write.partitionBy("variant", "classifier").mode(
-        "overwrite"
-    ).json(path)
+    """One partition folder per configuration.  The rebalance brings a configuration's rows
+    together for few files, and adaptive execution splits one that is too large for a task."""
+    df.hint("rebalance", "variant", "classifier").write.partitionBy("variant", "classifier").mode("overwrite").json(path)
 
 
 def read_predictions(
