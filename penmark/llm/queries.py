@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penmark.llm import simhash_dedup
+from penmark.llm import decontaminate, quality_rules, sharding, simhash_dedup, source_mix
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -16,4 +16,27 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+@register()
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+@register()
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start")
+
+
+@register()
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "slot", "shard")
+
+
 QUERIES, SQL = register.queries, register.sql

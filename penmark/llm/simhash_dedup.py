@@ -106,9 +106,12 @@ def routed(distinct: DataFrame, store: Store, max_group: int = MAX_GROUP) -> Dat
     while True:
         children = {m: child_masks(m) for m in masks}
         masks = {c for cs in children.values() for c in cs}
-        pairs = [(_signed(m), _signed(c)) for m, cs in children.items() for c in cs]
-        table = F.broadcast(spark.createDataFrame(pairs, "mask bigint, child bigint"))
-        rows = rows.join(table, "mask").select(F.col("child").alias("mask"), "fp", "rank")
+        lists = [(_signed(m), [_signed(c) for c in cs]) for m, cs in children.items()]
+        if len(lists) == 1:
+            rows = rows.withColumn("children", F.array(*[F.lit(c) for c in lists[0][1]]))
+        else:
+            rows = rows.join(F.broadcast(spark.createDataFrame(lists, "mask bigint, children array<bigint>")), "mask")
+        rows = rows.select(F.explode("children").alias("mask"), "fp", "rank")
         rows = rows.withColumn("pattern", F.col("mask").bitwiseAND(F.col("fp")))
         if 1 << min(64 - m.bit_count() for m in masks) <= max_group:
             return rows if done is None else done.unionByName(rows)
