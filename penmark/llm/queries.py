@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, quality_rules, sharding, simhash_dedup, source_mix
+from penmark.llm import decontaminate, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -33,6 +34,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start")
 
 
+@register()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register()
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents"))
