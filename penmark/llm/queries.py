@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
+from penmark.llm import decontaminate, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -46,4 +46,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+@register()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES, SQL = register.queries, register.sql
