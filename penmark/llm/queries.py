@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
+from penmark.llm import decontaminate, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -40,6 +40,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register()
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @register()
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents"))
