@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
+from penmark.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -17,6 +17,12 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_templates(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

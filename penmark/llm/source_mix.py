@@ -24,6 +24,7 @@ are a configuration-sized list (one driver row each).  An empty table gives an e
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,6 @@ from penmark.llm.common import KEYS, Store, row_keys, words
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
 MAX_REPEAT = 3
-BIN_ROWS = 5000
 SEED = 17
 
 
@@ -126,7 +126,7 @@ def source_plan(rows: DataFrame, weights: list[float], block_words: int = BLOCK_
 def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row's pieces of its source's blocks: ``no, block, row, at, len``, ``no`` the source's number."""
     some = rows.where("size > 0")
-    bins = max(1, some.count() // BIN_ROWS)
+    bins = isqrt(some.count()) + 1  # bins per source and rows per bin grow alike
     binned = some.withColumn("bin", F.pmod(F.shiftright("place", 20), F.lit(bins)))
     by_bin = binned.groupBy("no", "bin").agg(F.sum("size").alias("bin_size"))
     before = F.sum("bin_size").over(Window.partitionBy("no").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
