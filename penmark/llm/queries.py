@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
+from penmark.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -46,6 +46,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register()
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", "turn", "role", "n_parts", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 @register()
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
