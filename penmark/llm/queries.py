@@ -14,7 +14,8 @@ register = Registry()
 
 @register()
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "fingerprint", "component_id")
 
 
 @register()

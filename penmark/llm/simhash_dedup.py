@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penmark.llm.common import Store
+from penmark.llm.common import KEYS, Store, row_keys
 from penmark.llm.components import connected_components
+from penmark.physical import broadcast_checked
 
 SEED = 42
 SHINGLE = 3
@@ -69,18 +70,18 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, rank)`` per row; fp and rank hold 64 bits in a bigint."""
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    schema = T.StructType(
-        [picked.schema["doc_id"], T.StructField("fp", T.LongType()), T.StructField("rank", T.LongType())]
-    )
+    """``doc_id, key_a, key_b, fp, rank`` per row; fp and rank hold 64 bits in a bigint."""
+    keys = row_keys(F.col(id_col), F.col(text_col))
+    picked = docs.select(F.col(id_col).alias("doc_id"), *keys, F.col(text_col).cast("binary").alias("raw"))
+    bits = [T.StructField("fp", T.LongType()), T.StructField("rank", T.LongType())]
+    schema = T.StructType([*picked.schema.fields[:3], *bits])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raws = (x.as_py() for x in batch.column(1))
+            raws = (x.as_py() for x in batch.column(3))
             fps = np.fromiter((fingerprint(x or b"") for x in raws), np.uint64, batch.num_rows)
-            columns = [batch.column(0), pa.array(fps.view(np.int64)), pa.array(gray_rank(fps).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "rank"])
+            made = [pa.array(fps.view(np.int64)), pa.array(gray_rank(fps).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
@@ -234,7 +235,8 @@ def link_fingerprints(distinct: DataFrame, store: Store, max_group: int = MAX_GR
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_group: int = MAX_GROUP
 ) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint, component_id``."""
+    """One row per input row: ``doc_id, fingerprint, component_id, key_a, key_b, root``; ``root`` is the
+    smallest fingerprint of the component."""
     store = Store(docs.sparkSession, "simhash")
     rows = store.put(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = store.put(rows.groupBy("fp", "rank").agg(F.min("doc_id").alias("least")), "distinct")
@@ -242,7 +244,28 @@ def simhash_groups(
     roots = connected_components(edges, store).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     of = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    named = of.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    fingerprint_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return rows.join(named, "fp").select("doc_id", fingerprint_hex, "component_id", *KEYS, "root")
+
+
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` per component, the one with the smallest id (of equal ids, by a hash of the
+    text); all columns unchanged."""
+    store = Store(docs.sparkSession, "one-per-group")
+    groups = store.put(simhash_groups(docs, id_col, text_col, **options), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *KEYS)).alias("first")
+    kept = groups.groupBy("root").agg(first).select("first.key_a", "first.key_b")
+    by_key = groups.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    gone = broadcast_checked(store.put(by_key.join(kept, KEYS, "left_anti").select(*KEYS), "gone"))
+    again = broadcast_checked(store.put(by_key.join(kept, KEYS, "left_semi").where("n > 1").select(*KEYS), "again"))
+    names = [f"row {k}" for k in KEYS]  # not among the columns of docs
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(row_keys(docs[id_col], docs[text_col]), names, strict=True)])
+
+    def on(table: DataFrame):
+        return (F.col(f"`{names[0]}`") == table["key_a"]) & (F.col(f"`{names[1]}`") == table["key_b"])
+
+    left = keyed.join(gone, on(gone), "left_anti")
+    single = left.join(again, on(again), "left_anti")
+    repeated = left.join(again, on(again), "left_semi").dropDuplicates(names)
+    return single.unionByName(repeated).drop(*names)

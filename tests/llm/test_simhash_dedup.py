@@ -45,7 +45,12 @@ def expected(rows):
 
 
 def run(spark, rows, **kw):
-    return sorted(map(tuple, op.simhash_groups(docs_frame(spark, rows), **kw).collect()), key=str)
+    return result(docs_frame(spark, rows), **kw)
+
+
+def result(df, **kw):
+    groups = op.simhash_groups(df, **kw).select("doc_id", "fingerprint", "component_id")
+    return sorted(map(tuple, groups.collect()), key=str)
 
 
 def varied(seed, n):
@@ -74,7 +79,7 @@ def test_empty_table_and_extra_columns(spark):
     df = docs_frame(spark, [])
     assert op.simhash_groups(df).count() == 0
     clash = docs_frame(spark, ODD).selectExpr("*", "1 as fp", "2 as u", "3 as component_id", "4 as mask")
-    assert sorted(map(tuple, op.simhash_groups(clash).collect()), key=str) == expected(ODD)
+    assert result(clash) == expected(ODD)
 
 
 def test_index_links_what_pairs_link():
@@ -106,3 +111,22 @@ def test_routing_keeps_pairs_together_and_bounds_groups(spark):
     met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
     assert near <= met
     assert max(map(len, groups.values())) <= 64 or all(bin(m & (1 << 64) - 1).count("1") >= 49 for m, _ in groups)
+
+
+def test_one_row_per_group_stays(spark):
+    rows = varied(2, 200) + ODD
+    kept = [tuple(r)[:2] for r in op.keep_one_per_group(docs_frame(spark, rows)).collect()]
+    groups = {}
+    for row, of in zip(rows, rows_root(rows), strict=True):
+        groups.setdefault(of, []).append(row)
+    assert len(kept) == len(groups)
+    for members in groups.values():
+        found = [k for k in kept if k in members]
+        assert len(found) >= 1
+        assert found[0][0] == min((i for i, _ in members if i is not None), default=None)
+
+
+def rows_root(rows):
+    fps = [plain_fingerprint(t) for _, t in rows]
+    root = plain_components(fps)
+    return [root[f] for f in fps]
