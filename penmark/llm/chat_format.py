@@ -90,8 +90,8 @@ class Tables:
         self.emit = []
         for f, (name, size) in enumerate(FEATURES.items()):
             table = np.full((3, size), 0.5)
-            if name == "marker":
-                table += np.concatenate([np.full((3, 1), 5.0), 20 * np.eye(3)], axis=1)
+            if name == "marker":  # a marker of another role counts 10^4 times less
+                table = np.concatenate([np.full((3, 1), 5.0), np.full((3, 3), 0.02) + 200 * np.eye(3)], axis=1)
             for (role, feature, value), n in emitted.items():
                 if feature == f and value < size:
                     table[ROLES.index(role), value] += n
