@@ -5,7 +5,7 @@ Style: Arrow batches for line features and Viterbi; Spark sorts, cuts and joins.
 Rows of a conversation in order (turn, then text hash) form a transcript of lines.  The hidden state
 of a line is its role.  Observed are a speaker marker at the line's start, the length of the line and
 of its row, and whether it ends as a question.  Roles follow one table of transitions where a row
-begins and rarely change inside one, unless a marker says so.  The tables are counts over all labelled
+begins or a marker stands, and rarely change elsewhere.  The tables are counts over all labelled
 rows (outside the held-out fold of conversations) with a small prior; the role of a row is never read
 when it is decoded.
 
@@ -102,10 +102,10 @@ class Tables:
         return np.log(counts / counts.sum(axis=-1, keepdims=True))
 
     def scores(self, rows: list[list[tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Emission scores of all lines, and whether a line opens a row."""
+        """Emission scores of all lines, and whether a line opens a turn: starts a row or has a marker."""
         seen = np.array([line for row in rows for line in row], np.int64).reshape(-1, len(FEATURES))
         score = sum(table[:, seen[:, f]].T for f, table in enumerate(self.emit))
-        opens = np.zeros(len(seen), bool)
+        opens = seen[:, 0] > 0
         opens[np.cumsum([0] + [len(r) for r in rows[:-1]])] = True
         return score, opens
 

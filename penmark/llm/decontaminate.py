@@ -100,11 +100,11 @@ def matches(
     """``doc_id, item_id, similarity, start, key_a, key_b``: for each document and item that match the
     best window; ``start`` is the position of its first word."""
     store = Store(docs.sparkSession, "decontaminate")
-    parts = shingled(items, F.col(item_text_col), F.col(item_col).alias("item_id")).where(F.size("sh") > 0)
-    parts = store.put(
-        parts.select("item_id", "sh", F.size("sh").alias("n"), simhash(F.col("sh")).alias("item_fp"), numbered(F.col("sh")).alias("bag")),
-        "items",
+    parts = shingled(items, F.col(item_text_col), F.col(item_col).alias("item_id"))
+    parts = parts.select(
+        "item_id", "sh", F.size("sh").alias("n"), simhash(F.col("sh")).alias("item_fp"), numbered(F.col("sh")).alias("bag")
     )
+    parts = store.put(parts, "items").where("n > 0")
     vocabulary = parts.select(F.explode("sh").alias("x"), "n").groupBy("x").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
     vocabulary = broadcast_checked(store.put(vocabulary, "vocabulary"))
 

@@ -153,7 +153,8 @@ def cutoffs(
 ) -> DataFrame:
     """``(stratum, rule, cutoff)`` of the chosen certified cutoffs.
 
-    ``rows``: output of ``features``; ``labels``: ``(doc_id, quality)``, quality 1 is good."""
+    ``rows``: stored output of ``features`` (a filter on it would else be pushed below the row-local
+    steps and evaluate them again); ``labels``: ``(doc_id, quality)``, quality 1 is good."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
     judged = rows.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(known, "doc_id")
     # Level of a share: how many cutoffs it exceeds.  One small row per stratum, rule and level.
