@@ -14,6 +14,8 @@ Patterns use Unicode classes only, so they behave alike in Java regexes and in R
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,10 +63,25 @@ def ngram_density(num_tokens: Column, n: int) -> Column:
     return ratio(F.greatest(num_tokens - (n - 1), F.lit(0)), num_tokens)
 
 
-# Latin letters with diacritics of the western European alphabets -> their base letter.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyy"
+def _base_letters() -> tuple[str, str]:
+    """Every letter that is one base letter with marks, by Unicode decomposition, and its base."""
+    pairs = []
+    for code in range(0xC0, 0x1F00):
+        parts = [p for p in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(p)]
+        if len(parts) == 1 and parts[0] != chr(code) and parts[0].isalpha() and chr(code).isalpha():
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, UNACCENTED = _base_letters()
+# The Latin ligatures that decompose into several letters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "ŉ": "ʼn"}
+MARKS_ONLY_RE = r"\p{Mn}+"
 
 
 def strip_accents(lowered: Column) -> Column:
-    return F.translate(lowered, ACCENTED, UNACCENTED)
+    """Base letters: precomposed letters and ligatures decomposed, other nonspacing marks removed."""
+    plain = F.translate(lowered, ACCENTED, UNACCENTED)
+    for ligature, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
+    return F.regexp_replace(plain, MARKS_ONLY_RE, "")

@@ -149,30 +149,52 @@ def long_features(features: DataFrame) -> DataFrame:
     return inline_computed(features, F.concat(F.array(*pairs), *families), "feature", ["doc_id"])
 
 
-def annotation_features(ann: DataFrame) -> DataFrame:
+def annotation_features(ann: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """The annotation-based features from a token table, for tables made by an external tagger.
 
-    Every aggregate is a count, so each task sends one partial row per document and label and
-    a very long document does not burden one task."""
-    per_doc = ann.groupBy("doc_id").agg(
-        F.count_if("is_alpha").alias("num_alpha"),
-        F.countDistinct("sent_id").alias("num_sentences"),
-        F.count(F.lit(1)).alias("tokens"),
-        F.count_if("is_stop").alias("stops"),
-        F.count_if(F.col("dep").isin(G.CLAUSE_DEPS)).alias("clauses"),
+    The table is read once: every token gives a few (family, label) rows, which each task counts
+    before the shuffle, so a very long document does not burden one task.  ``docs`` (``doc_id``) keeps
+    documents without tokens, with zeros and empty maps."""
+    one = F.lit(1).cast("bigint")
+
+    def row(family: str, label: F.Column) -> F.Column:
+        return F.struct(F.lit(family).alias("family"), label.cast("string").alias("label"))
+
+    rows = F.array_compact(
+        F.array(
+            row("pos", F.col("pos")),
+            row("dep", F.col("dep")),
+            row("sentence", F.col("sent_id")),
+            F.when(F.col("is_punct"), row("punct", F.col("token"))),
+            F.when(F.col("is_alpha"), row("n", F.lit("alpha"))),
+            F.when(F.col("is_stop"), row("n", F.lit("stop"))),
+            F.when(F.col("dep").isin(G.CLAUSE_DEPS), row("n", F.lit("clause"))),
+        )
     )
+    counts = ann.select("doc_id", F.inline(rows)).groupBy("doc_id", "family", "label").agg(F.sum(one).alias("n"))
+    entry = F.struct("label", "n")
+    maps = [
+        F.map_from_entries(
+            F.sort_array(F.collect_list(F.when((F.col("family") == f) & F.col("label").isNotNull(), entry)))
+        ).alias(f"{f}_counts")
+        for f in ("pos", "punct", "dep")
+    ]
 
-    def family(label: str, keep: F.Column, name: str) -> DataFrame:
-        counts = ann.where(keep).groupBy("doc_id", F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-        return counts.groupBy("doc_id").agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias(name)
-        )
+    def total(condition: F.Column) -> F.Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-    joined = (
-        per_doc.join(family("pos", F.lit(True), "pos_counts"), "doc_id", "left")
-        .join(family("token", F.col("is_punct"), "punct_counts"), "doc_id", "left")
-        .join(family("dep", F.lit(True), "dep_counts"), "doc_id", "left")
+    joined = counts.groupBy("doc_id").agg(
+        total((F.col("family") == "n") & (F.col("label") == "alpha")).alias("num_alpha"),
+        total((F.col("family") == "n") & (F.col("label") == "stop")).alias("stops"),
+        total((F.col("family") == "n") & (F.col("label") == "clause")).alias("clauses"),
+        total(F.col("family") == "pos").alias("tokens"),
+        F.count_if((F.col("family") == "sentence") & F.col("label").isNotNull()).alias("num_sentences"),
+        *maps,
     )
+    if docs is not None:
+        joined = docs.select("doc_id").join(joined, "doc_id", "left").fillna(
+            0, ["num_alpha", "stops", "clauses", "tokens", "num_sentences"]
+        )
 
     def share(counts: str, prefix: str) -> F.Column:
         scaled = F.transform_values(counts, lambda k, v: v.cast("double") / F.col("num_alpha"))
@@ -184,7 +206,7 @@ def annotation_features(ann: DataFrame) -> DataFrame:
         "doc_id",
         L.ratio(F.col("stops"), F.col("num_alpha")).alias("stopword_ratio"),
         L.ratio(F.col("clauses"), F.col("num_sentences")).alias("syntactic_complexity"),
-        L.round2(L.ratio(F.array_max(F.map_values("dep_counts")), F.col("tokens"))).alias("dep_repetition"),
+        F.coalesce(L.round2(L.ratio(F.array_max(F.map_values("dep_counts")), F.col("tokens"))), F.lit(0.0)).alias("dep_repetition"),
         share("pos_counts", "prop_").alias("pos_shares"),
         share("punct_counts", "punct_").alias("punct_shares"),
     )

@@ -18,24 +18,40 @@ def confusion_matrix(
     preds: DataFrame,
     label: str = "label",
     predicted: str = "predicted_label",
-    classes: Sequence[int] = BINARY,
+    classes: Sequence[int | str] = BINARY,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """``(label, predicted_label, n)`` for every pair of classes, 0 where a pair does not occur.
 
-    Conditional counts fill all cells in one aggregate, so no grid has to be joined in."""
-    cells = [(a, b) for a in classes for b in classes]
-    counts = [
-        F.count_if((F.col(label) == a) & (F.col(predicted) == b)).alias(f"n_{i}")
-        for i, (a, b) in enumerate(cells)
-    ]
-    structs = [
-        F.struct(
-            F.lit(a).alias("label"), F.lit(b).alias("predicted_label"), F.col(f"n_{i}").alias("n")
-        )
-        for i, (a, b) in enumerate(cells)
-    ]
-    return preds.groupBy(*by).agg(*counts).select(*by, F.inline(F.array(*structs)))
+    Classes are those in the data together with ``classes`` (same type; may be empty), so every row is
+    counted.  A null label or prediction is an error.  One partial aggregate over the rows; the grid is
+    then filled inside one small row per group."""
+
+    def known(name: str) -> Column:
+        checked = F.raise_error(F.lit(f"null in {name}")).cast(preds.schema[name].dataType)
+        return F.coalesce(F.col(name), checked)
+
+    cells = preds.select(*by, known(label).alias("label"), known(predicted).alias("predicted_label"))
+    cells = cells.groupBy(*by, "label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
+    named = [F.collect_set("label"), F.collect_set("predicted_label")]
+    if classes:
+        named.append(F.first(F.array(*[F.lit(x) for x in classes])) if by else F.array(*[F.lit(x) for x in classes]))
+    per_group = cells.groupBy(*by).agg(
+        F.collect_list(F.struct("label", "predicted_label", "n")).alias("cells"),
+        F.array_sort(F.array_distinct(F.flatten(F.array(*named)))).alias("classes"),
+    )
+
+    def count(a: Column, b: Column) -> Column:
+        found = F.filter("cells", lambda x: (x["label"] == a) & (x["predicted_label"] == b))
+        return F.coalesce(F.get(found, F.lit(0))["n"], F.lit(0).cast("bigint"))
+
+    grid = F.transform(
+        "classes",
+        lambda a: F.transform(
+            "classes", lambda b: F.struct(a.alias("label"), b.alias("predicted_label"), count(a, b).alias("n"))
+        ),
+    )
+    return per_group.select(*by, F.inline(F.flatten(grid)))
 
 
 def _safe(num: Column, den: Column) -> Column:

@@ -202,6 +202,41 @@ def classification_report(spark, sf_dir):
     return rounded(M.classification_report(matrix, by=["model"]))
 
 
+# Three classes: the role of a turn, guessed from its place and length.
+_ROLE_SQL = """
+ro AS (
+  SELECT role AS label,
+    CASE WHEN turn = 0 AND length(text) % 3 = 0 THEN 'system' WHEN length(text) > 400 THEN 'assistant' ELSE 'user' END AS predicted_label
+  FROM conversations)"""
+
+
+def role_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = F.length("text")
+    guess = F.when((c("turn") == 0) & (chars % 3 == 0), "system").when(chars > 400, "assistant").otherwise("user")
+    return table(spark, sf_dir, "conversations").select(c("role").alias("label"), guess.alias("predicted_label"))
+
+
+@query(
+    f"WITH {_ROLE_SQL}, k AS (SELECT label AS x FROM ro UNION SELECT predicted_label FROM ro)"
+    " SELECT a.x AS label, b.x AS predicted_label, count(ro.label)::bigint AS n FROM k a CROSS JOIN k b"
+    " LEFT JOIN ro ON ro.label = a.x AND ro.predicted_label = b.x GROUP BY ALL"
+)
+def confusion_matrix_of_roles(spark, sf_dir):
+    """Classes from the data."""
+    return rounded(M.confusion_matrix(role_guesses(spark, sf_dir), classes=()))
+
+
+@query(
+    f"""WITH {_ROLE_SQL}, k AS (SELECT label AS x FROM ro UNION SELECT predicted_label FROM ro),
+pc AS (SELECT x, count(*) FILTER (WHERE label = x AND predicted_label = x)::double AS tp, count(*) FILTER (WHERE predicted_label = x)::double AS cl,
+  count(*) FILTER (WHERE label = x)::double AS su FROM k CROSS JOIN ro GROUP BY x),
+pr AS (SELECT *, coalesce(tp / nullif(cl, 0), 0) AS p, coalesce(tp / nullif(su, 0), 0) AS r, coalesce(2 * tp / nullif(cl + su, 0), 0) AS f FROM pc)
+SELECT round(sum(tp) / sum(su), 6) AS accuracy, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(f), 6) AS f1 FROM pr"""
+)
+def macro_scores_of_roles(spark, sf_dir):
+    return rounded(M.macro_scores(M.confusion_matrix(role_guesses(spark, sf_dir), classes=())))
+
+
 _MACRO_SQL = f"""{_BY_CLASS_SQL},
 macro AS (
   SELECT model, sum(tp) / sum(support) AS accuracy, avg(p) AS precision, avg(r) AS recall, avg(f) AS f1 FROM pr GROUP BY model)"""

@@ -30,6 +30,9 @@ def _grams(source: str, prefix: str) -> str:
         for n in (2, 3, 4)
     )
     strip = f"translate(lower(text), {Q.q(K.ACCENTED)}, {Q.q(K.UNACCENTED)})"
+    for ligature, letters in K.LIGATURES.items():
+        strip = f"replace({strip}, {Q.q(ligature)}, {Q.q(letters)})"
+    strip = f"regexp_replace({strip}, {Q.q(K.MARKS_ONLY_RE)}, '', 'g')"
     return f"""
 {prefix}t AS (SELECT doc_id, regexp_extract_all({strip}, {Q.q(K.TERMS_RE)}) AS t FROM ({source})),
 {prefix}g AS (SELECT doc_id, unnest(flatten([t{longer}])) AS term FROM {prefix}t),

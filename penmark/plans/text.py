@@ -248,13 +248,23 @@ def dep_repetition(spark, sf_dir):
 a AS (SELECT doc_id, count(*) FILTER (WHERE is_alpha) AS al, count(DISTINCT sent_id) AS ns, count(*) AS nt,
         count(*) FILTER (WHERE is_stop) AS st, count(*) FILTER (WHERE dep IN ('acl', 'advcl', 'ccomp')) AS cl FROM ann GROUP BY doc_id),
 d AS (SELECT doc_id, max(k) AS mx FROM (SELECT doc_id, dep, count(*) AS k FROM ann GROUP BY ALL) GROUP BY doc_id)
-SELECT doc_id, round({Q.ratio("st", "al")}, 6) AS stopword_ratio, round({Q.ratio("cl", "ns")}, 6) AS syntactic_complexity,
-  {Q.round2("mx::double / nt")} AS dep_repetition FROM a JOIN d USING (doc_id)"""
+SELECT doc_id, 'stopword_ratio' AS feature, round(coalesce({Q.ratio("st", "al")}, 0), 6) AS value FROM tok LEFT JOIN a USING (doc_id)
+UNION ALL SELECT doc_id, 'syntactic_complexity', round(coalesce({Q.ratio("cl", "ns")}, 0), 6) FROM tok LEFT JOIN a USING (doc_id)
+UNION ALL SELECT doc_id, 'dep_repetition', coalesce({Q.round2("mx::double / nt")}, 0) FROM tok LEFT JOIN (SELECT * FROM a JOIN d USING (doc_id)) x USING (doc_id)
+UNION ALL SELECT doc_id, 'prop_' || pos, round(n::double / al, 6) FROM (SELECT doc_id, pos, count(*) AS n FROM ann GROUP BY ALL) p JOIN a USING (doc_id) WHERE al > 0
+UNION ALL SELECT doc_id, 'punct_' || token, round(n::double / al, 6)
+  FROM (SELECT doc_id, token, count(*) AS n FROM ann WHERE is_punct GROUP BY ALL) p JOIN a USING (doc_id) WHERE al > 0"""
 )
 def annotation_table_features(spark, sf_dir):
-    """The same features computed from a token table, as an external tagger would deliver it."""
-    ann = FT.annotate(documents(spark, sf_dir))
-    return rounded(FT.annotation_features(ann).drop("pos_shares", "punct_shares"))
+    """The same features computed from a token table, as an external tagger would deliver it: the three
+    scalars and both families, all documents."""
+    docs = documents(spark, sf_dir)
+    wide = FT.annotation_features(FT.annotate(docs), docs)
+    scalars = F.create_map(
+        *[x for n in ("stopword_ratio", "syntactic_complexity", "dep_repetition") for x in (F.lit(n), c(n).cast("double"))]
+    )
+    pairs = F.map_concat(scalars, "pos_shares", "punct_shares")
+    return rounded(explode_computed(wide, pairs, ["feature", "value"], ["doc_id"]))
 
 
 @query(

@@ -27,10 +27,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
-    """CSV with a header row and a declared schema.  ``multi_line`` allows line breaks inside
-    quoted fields; such files cannot be split, so keep it off for large single files."""
-    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
-    return reader.option("multiLine", multi_line).csv(path)
+    """CSV with a header row; the schema's columns are taken by name, whatever their order, and a name
+    that the header lacks is an error.  A value that does not fit its type is null.  ``multi_line``
+    allows line breaks inside quoted fields; such files cannot be split, so keep it off for large
+    single files."""
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    raw = reader.csv(path)
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in declared.fields])
 
 
 def config_slug(variant: str | Column, classifier: str | Column) -> Column:
@@ -86,6 +90,35 @@ def read_predictions(
     return preds.withColumn("model", config_slug(F.col("variant"), F.col("classifier"))), problems
 
 
+PREDICTION_FILE = "_predictions.jsonl"
+
+
+def read_prediction_files(spark: SparkSession, path: str, models: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(predictions, problems) from one ``<slug>_predictions.jsonl`` per configuration in one folder.
+
+    ``model`` comes from the file name.  As in ``read_predictions``, a file with a broken line or a row
+    without label or probability is left out as a whole and reported, as is a requested model without a
+    file (``models`` None: all files that are there)."""
+    schema = T.StructType.fromDDL(f"{PREDICTION_SCHEMA}, {CORRUPT} string")
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    raw = reader.option("pathGlobFilter", f"*{PREDICTION_FILE}").json(path)
+    name = F.regexp_extract("_metadata.file_name", f"^(.*){re.escape(PREDICTION_FILE)}$", 1)
+    raw = raw.select("*", name.alias("model"))
+    broken = F.col(CORRUPT).isNotNull()
+    lacking = ~broken & (F.col("label").isNull() | F.col("prediction_probability").isNull())
+    found = raw.groupBy("model").agg(F.count_if(broken).alias("bad_json"), F.count_if(lacking).alias("missing_key"))
+    problem = F.when(F.col("bad_json") > 0, F.lit("bad json")).when(F.col("missing_key") > 0, F.lit("missing key"))
+    found = found.select("model", problem.alias("problem"))
+    problems = found.where("problem IS NOT NULL")
+    good = found.where("problem IS NULL").select("model")
+    if models is not None:
+        wanted = F.broadcast(spark.createDataFrame([(m,) for m in models], "model string"))
+        missing = wanted.join(found, "model", "left_anti").withColumn("problem", F.lit("missing file"))
+        problems = problems.join(wanted, "model", "left_semi").unionByName(missing)
+        good = good.join(wanted, "model", "left_semi")
+    return raw.join(F.broadcast(good), "model", "left_semi").drop(CORRUPT), problems
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """The result table (one row per configuration) as JSON lines and as CSV with a header;
     nested columns become JSON text in the CSV."""
@@ -120,9 +153,7 @@ def word_list(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame(rows, "word string, tag string")
 
 
-def read_phrases(spark: SparkSession, path: str, column: str = "CONECTOR", max_phrases: int = 5_000) -> list[str]:
-    """Connector phrases from a CSV.  They become literals of the plan, so their number is checked."""
-    rows = read_csv(spark, path, f"`{column}` string").where(F.col(column).isNotNull()).limit(max_phrases + 1).collect()
-    if len(rows) > max_phrases:
-        raise ValueError(f"more than {max_phrases} connector phrases")
-    return [r[0] for r in rows]
+def read_phrases(spark: SparkSession, path: str, column: str = "CONECTOR") -> list[str]:
+    """Connector phrases from a CSV, by the name of their column."""
+    rows = read_csv(spark, path, f"`{column}` string").where(F.col(f"`{column}`").isNotNull()).distinct()
+    return sorted(r[0] for r in rows.collect())
