@@ -95,12 +95,14 @@ def dropped_lines(
     shaped = shaped.select(
         *line, F.xxhash64("template").alias("made_a"), F.xxhash64(F.lit("line"), "template").alias("made_b")
     )
+    shaped = broadcast_checked(store.put(shaped, "shaped"))
     named = found.join(shaped, line, "left").select(
         *KEYS, "at", F.coalesce("made_a", "line_a").alias("form_a"), F.coalesce("made_b", "line_b").alias("form_b")
     )
     named = store.put(named, "named")
     per_form = named.select(*KEYS, "form_a", "form_b").distinct().groupBy("form_a", "form_b").count()
     recurring = per_form.where(F.col("count") >= min_docs).select("form_a", "form_b")
+    recurring = broadcast_checked(store.put(recurring, "recurring"))
     gone = named.join(recurring, ["form_a", "form_b"]).groupBy(*KEYS).agg(F.collect_set("at").alias("gone"))
     return store.put(gone, "gone")
 
