@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, substring_dedup
+from penmark.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, sql, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -18,13 +18,13 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
-@register()
+@register(sql.line_dedup_sql())
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_templates(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@register()
+@register(sql.quality_rules_sql())
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return verdicts.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -35,10 +35,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.Mix(table(spark, sf_dir, "documents")).taken()
 
 
-@register()
+@register(sql.decontaminate_sql())
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "similarity", "start")
+    return found.select("doc_id", "item_id", "similarity", F.col("start").cast("bigint").alias("start"))
 
 
 @register()
@@ -60,7 +60,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-@register()
+@register(sql.sharding_sql())
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.place(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "slot", "shard")
