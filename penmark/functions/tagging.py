@@ -25,6 +25,8 @@ NUMBER_RE = r"^\p{N}+$"
 LETTER_START_RE = r"^\p{L}"
 WORD_START_RE = rf"^[{WORD}]"
 CAPITAL_RE = r"^\p{Lu}"
+# The tags that the rules can give.
+TAGS = sorted({*CLOSED_CLASS, *COMMON_OPEN, "PROPN", "ADV", "VERB", "ADJ", "NOUN", "NUM", "PUNCT", "SYM"})
 RELATIVES = ["who", "which", "whose"]
 CLAUSE_DEPS = ["acl", "advcl", "ccomp"]
 

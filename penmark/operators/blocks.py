@@ -95,7 +95,10 @@ class BlockModel:
         return df
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        out = self.raw(df, text)
+        return self.scaled(self.raw(df, text))
+
+    def scaled(self, raw: DataFrame) -> DataFrame:
+        out = raw
         for block, scaler in self.scalers.items():
             out = self.imputers[block].transform(scaler.transform(out, block), block)
         return out
@@ -123,6 +126,27 @@ class BlockModel:
         )
 
 
+def _fit(
+    train: DataFrame, text: str | None, max_features: int, svd_components: int, min_df: int
+) -> tuple[BlockModel, DataFrame]:
+    """The fitted model and the stored, unscaled training blocks."""
+    given = [b for b in BLOCK_ORDER[:3] if b in train.columns]
+    widths = {b: vector_width(parse_vector_column(train.select(b), b), b) for b in given}
+    tfidf = svd = None
+    if text is not None:
+        tfidf = fit_tfidf(train.select("doc_id", text), text, max_features=max_features, min_df=min_df)
+        vectors = materialize(tfidf.transform(train.select("doc_id", text), text))
+        svd = svd_reduce(vectors, k=svd_components)
+    model = BlockModel(tfidf, svd, widths)
+    raw = materialize(model.raw(train, text or "text"))
+    for block in given + (["tfidf"] if text is not None else []):
+        scaler = StandardizeBlock.fit(raw, block)
+        model.scalers[block] = scaler
+        # The mean of a standardised position is 0, so that is what fills its gaps.
+        model.imputers[block] = ImputeMean([0.0] * len(scaler.mean))
+    return model, raw
+
+
 def fit_blocks(
     train: DataFrame,
     text: str | None = "text",
@@ -134,27 +158,20 @@ def fit_blocks(
 
     ``train`` has ``doc_id``, the text, and any of the columns ``style``, ``feat``, ``pplx``
     (arrays, numbers, or text holding them).  ``text=None`` builds no TF-IDF block."""
-    given = [b for b in BLOCK_ORDER[:3] if b in train.columns]
-    widths = {b: vector_width(parse_vector_column(train.select(b), b), b) for b in given}
-    tfidf = svd = None
-    if text is not None:
-        tfidf = fit_tfidf(train.select("doc_id", text), text, max_features=max_features, min_df=min_df)
-        svd = svd_reduce(tfidf.transform(train.select("doc_id", text), text), k=svd_components)
-    model = BlockModel(tfidf, svd, widths)
-    raw = materialize(model.raw(train, text or "text"))
-    for block in given + (["tfidf"] if text is not None else []):
-        model.scalers[block] = StandardizeBlock.fit(raw, block)
-        scaled = model.scalers[block].transform(raw.select(block), block)
-        model.imputers[block] = ImputeMean.fit(scaled, block)
-    return model
+    return _fit(train, text, max_features, svd_components, min_df)[0]
 
 
 def build_blocks(
-    train: DataFrame, test: DataFrame, text: str | None = "text", **options: int
+    train: DataFrame,
+    test: DataFrame,
+    text: str | None = "text",
+    max_features: int = 3000,
+    svd_components: int = 300,
+    min_df: int = 2,
 ) -> tuple[DataFrame, DataFrame, BlockModel]:
     """(train blocks, test blocks, fitted model)."""
-    model = fit_blocks(train, text, **options)
-    return model.transform(train, text or "text"), model.transform(test, text or "text"), model
+    model, raw = _fit(train, text, max_features, svd_components, min_df)
+    return model.scaled(raw), model.transform(test, text or "text"), model
 
 
 def concat_blocks(df: DataFrame, flags: Mapping[str, bool], into: str = "features") -> DataFrame:

@@ -29,7 +29,7 @@ def _vector_column(df: DataFrame, array_col: str, into: str = "features") -> Dat
 
 
 def rf_importances(
-    df: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42, max_depth: int = 20
+    df: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42, max_depth: int = 30
 ) -> DataFrame:
     """``(feature, importance)``: one row per column.  Missing values are imputed first, since
     the forest does not accept NaN."""
@@ -133,7 +133,7 @@ class Selection:
 
 
 def select_features(
-    train: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42, max_depth: int = 20
+    train: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42, max_depth: int = 30
 ) -> Selection:
     importances = rf_importances(train, cols, label, trees, seed, max_depth)
     listed = {r["feature"] for r in select_by_mean(importances).collect()}

@@ -83,9 +83,9 @@ def tfidf_transform(spark, sf_dir):
     return rounded(model.transform_long(_turns(spark, sf_dir)))
 
 
-# Language model.  VOCAB is the model's vocabulary size.
+# Language model over all words of the documents.
 
-VOCAB, K_UNI, LAM = 20_000, 0.5, 0.7
+K_UNI, LAM = 0.5, 0.7
 
 
 def _lm_sql(scored: str = "SELECT doc_id, text FROM documents") -> str:
@@ -93,7 +93,7 @@ def _lm_sql(scored: str = "SELECT doc_id, text FROM documents") -> str:
 lt AS (SELECT doc_id, regexp_extract_all(lower(text), {Q.q(K.MARKS_RE)}) AS t FROM documents),
 lp AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM lt),
 uni AS (SELECT w, count(*) AS c FROM lp GROUP BY w),
-voc AS (SELECT w, c FROM uni ORDER BY c DESC, w LIMIT {VOCAB}),
+voc AS (SELECT w, c FROM uni),
 tot AS (SELECT (SELECT sum(c) FROM uni)::double AS n, count(*)::double AS v, sum(c)::double AS k FROM voc),
 pw AS (SELECT w, (c + {K_UNI}::double) / (n + {K_UNI}::double * (v + 1)) AS p FROM voc, tot),
 unk AS (SELECT (n - k + {K_UNI}::double) / (n + {K_UNI}::double * (v + 1)) AS pu FROM tot),
@@ -117,13 +117,13 @@ ll AS (SELECT doc_id, -avg(ln(q)) AS log_ppl, count(*) AS n FROM sc GROUP BY doc
 @query(f"WITH {_lm_sql()} SELECT doc_id, round(exp(log_ppl), 6) AS perplexity FROM documents LEFT JOIN ll USING (doc_id)")
 def perplexity_of_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return rounded(perplexity(docs, fit_ngram_lm(docs, vocab_size=VOCAB, k=K_UNI, lam=LAM)))
+    return rounded(perplexity(docs, fit_ngram_lm(docs, k=K_UNI, lam=LAM)))
 
 
 @query(f"WITH {_lm_sql(_TURNS_SQL)}, al AS ({_TURNS_SQL}) SELECT doc_id, round(exp(log_ppl), 6) AS perplexity FROM al LEFT JOIN ll USING (doc_id)")
 def perplexity_of_turns(spark, sf_dir):
     """A model of the documents scores other text, with unknown words."""
-    lm = fit_ngram_lm(documents(spark, sf_dir), vocab_size=VOCAB, k=K_UNI, lam=LAM)
+    lm = fit_ngram_lm(documents(spark, sf_dir), k=K_UNI, lam=LAM)
     return rounded(perplexity(_turns(spark, sf_dir), lm))
 
 
@@ -140,7 +140,7 @@ zs AS (SELECT doc_id, log_ppl / x AS score FROM ll JOIN xe USING (doc_id))"""
 
 def _scores(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return ZS.zero_shot_score(docs, fit_ngram_lm(docs, vocab_size=VOCAB, k=K_UNI, lam=LAM))
+    return ZS.zero_shot_score(docs, fit_ngram_lm(docs, k=K_UNI, lam=LAM))
 
 
 @query(f"WITH {_lm_sql()}{_H_SQL} SELECT doc_id, round(score, 6) AS score FROM documents LEFT JOIN zs USING (doc_id)")
