@@ -234,8 +234,8 @@ def test_grid_storage_and_significance(spark, blobs, tmp_path):
     assert {r["model"] for r in stored.select("model").distinct().collect()} == {"Single_-_Style_RandomForest"}
 
     io.write_results(results, str(tmp_path / "results"))
-    csv = io.read_csv(spark, str(tmp_path / "results" / "csv"), AB.RESULT_SCHEMA.split(", `Class")[0] + ", report string, matrix string")
-    assert json.loads(csv.first()["matrix"]) == rows[0]["Confusion Matrix"]
+    csv = io.read_csv(spark, str(tmp_path / "results" / "csv"), AB.RESULT_SCHEMA.split(", `Class")[0] + ", `Classification Report` string, `Confusion Matrix` string")
+    assert json.loads(csv.first()["Confusion Matrix"]) == rows[0]["Confusion Matrix"]
 
     io.save_models(models, str(tmp_path / "models"))
     again = io.load_model(str(tmp_path / "models"), "Single - Style", "LogisticReg")
