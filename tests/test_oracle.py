@@ -12,6 +12,8 @@ SQL = entry_module.oracle_sql()
 QUERIES = entry_module.queries()
 # Fit many models; their parts are tested in test_models.
 SLOW = {"run_ablation", "ablation_to_significance", "build_blocks"}
+# Tested against plain versions in their own folder.
+SLOW |= {name for name in QUERIES if name.startswith("op") or name == "pipeline"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
