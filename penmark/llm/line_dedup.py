@@ -77,6 +77,7 @@ def dropped_lines(
     different = store.put(different.withColumn("tokens", F.split("line", " ")).drop("line"), "different")
 
     several = different.groupBy("leaf").count().where("count > 1").select("leaf")
+    several = broadcast_checked(store.put(several, "several"))
     varied = different.join(several, "leaf", "left_semi")
     places = varied.select("leaf", *line, "n", F.posexplode("tokens").alias("place", "word"))
     places = places.where(F.col("place") >= LEAD).withColumn("word", F.xxhash64("word"))
