@@ -8,8 +8,9 @@ Style: DataFrame functions; NumPy on Arrow batches only for drawing and permutin
 2. Targets: a source's share by weight, at most ``max_repeat`` times its size; the excess goes to
    the others by weight.  A target becomes a number of blocks.
 3. Each output shard draws its block count per source from a multinomial whose probabilities are
-   what is still open of the targets, so the shards' counts add up to the targets.  This runs over
-   shards x sources (file lists, not documents) on the driver, with a fixed seed.
+   what is still open of the targets, so the shards' counts add up to the targets.  The driver draws
+   for groups of shards only (about the square root of the number of shards); tasks draw for the
+   shards of a group, with seeds fixed by the group.
 4. Slot k of a source is block ``perm_e(k mod blocks)`` of pass e = k div blocks; ``perm_e`` is a
    keyed Feistel permutation with cycle walking, so slots need no shuffle to be random and reruns
    agree.  Slots meet the documents' pieces by (source, block).
@@ -144,16 +145,28 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def slots(plan: list[dict], spark, shard_blocks: int = SHARD_BLOCKS, seed: int = SEED) -> DataFrame:
-    """``shard, no, pass, block``: one row per block that the mix takes."""
-    counts = shard_counts([p["quota"] for p in plan], shard_blocks, seed)
+    """``shard, no, pass, block``: one row per block that the mix takes.
+
+    The driver draws for groups of shards, as many as a group has shards; tasks draw for the shards
+    of their group from what the group drew."""
+    quota = [p["quota"] for p in plan]
+    in_group = isqrt(-(-sum(quota) // shard_blocks)) + 1  # shards of a group and groups grow alike
+    counts = shard_counts(quota, shard_blocks * in_group, seed)
     starts = np.cumsum(counts, axis=0) - counts
-    table = [
-        (int(s), p["no"], int(starts[s, i]), int(counts[s, i]), max(1, p["blocks"]))
-        for s in range(len(counts))
-        for i, p in enumerate(plan)
-        if counts[s, i]
-    ]
-    ranges = spark.createDataFrame(table, "shard bigint, no int, first bigint, n bigint, blocks bigint")
+    blocks = [max(1, p["blocks"]) for p in plan]
+    table = [(g, counts[g].tolist(), starts[g].tolist()) for g in range(len(counts))]
+    groups = spark.createDataFrame(table, "group bigint, open array<bigint>, first array<bigint>")
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for group, open_, first in f.itertuples(index=False):
+                n = shard_counts(list(open_), shard_blocks, seed + 1 + group)
+                at = np.cumsum(n, axis=0) - n + np.asarray(first, np.int64)
+                s, no = np.nonzero(n)
+                columns = {"shard": group * in_group + s, "no": no, "first": at[s, no], "n": n[s, no], "blocks": np.take(blocks, no)}
+                yield pd.DataFrame(columns)
+
+    ranges = groups.mapInPandas(draw, "shard bigint, no int, first bigint, n bigint, blocks bigint")
     ks = ranges.select("shard", "no", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     ks = ks.select("shard", "no", "blocks", (F.col("k") / F.col("blocks")).cast("int").alias("pass"), F.expr("k % blocks").alias("i"))
 

@@ -72,6 +72,8 @@ def test_slots_draw_each_block_once_per_pass(spark):
     mix = op.Mix(docs_frame(spark, corpus()), block_words=16, shard_blocks=64)
     drawn = [(r["no"], r["pass"], r["block"]) for r in mix.slots.collect()]
     assert len(drawn) == len(set(drawn)) == sum(p["quota"] for p in mix.plan)
+    per_shard = [r["count"] for r in mix.slots.groupBy("shard").count().orderBy("shard").collect()]
+    assert all(n == 64 for n in per_shard[:-1]) and 0 < per_shard[-1] <= 64
     blocks = {p["no"]: p["blocks"] for p in mix.plan}
     assert all(0 <= b < blocks[no] for no, _, b in drawn)
     covered = {}
