@@ -14,8 +14,9 @@ Labels, language, source and id are no inputs of a score.
 
 Nulls and limits: a null, empty or blank text counts as one line without words.  A null id is scored,
 is not held out and never trains.  Null labels are ignored; a document labelled twice counts as good
-if any label says so.  Without usable labels every score is 0.5.  Repeated rows stay and score alike.
-Extra columns are ignored.  An empty table gives an empty table.
+if any label says so.  Rows that share an id all train while there are at most ``max_train`` rows.
+Without usable labels every score is 0.5.  Repeated rows stay and score alike.  Extra columns are
+ignored.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -242,7 +243,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
             T.StructField("w", T.BinaryType()),
         ]
     )
-    rows = sorted(sample.mapInArrow(run, schema).collect(), key=lambda r: (r["doc_id"], r["x"]))
+    made = sample.mapInArrow(run, schema)
+    # The bound holds for rows too, should many share an id.
+    made = made.orderBy(F.xxhash64(F.col("doc_id").cast("string"), "x"), "doc_id", "x").limit(max_train)
+    rows = sorted(made.collect(), key=lambda r: (r["doc_id"], r["x"]))
     if not rows:
         return None
     x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, len(LINE_FEATURES)) for r in rows])
