@@ -13,6 +13,7 @@ from penmark.functions import connectors as C
 from penmark.functions import tokens as K
 from penmark.functions.arrays import let, ratio, round2
 from penmark.physical import MAX_BROADCAST_ROWS, broadcast_checked, explode_computed
+from penmark.session import materialize
 
 
 def combine_features(base: DataFrame, *feature_tables: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -39,10 +40,10 @@ def unusual_words(
 
     Words are made distinct inside the row before they are exploded.  A lexicon under the size
     limit is broadcast and nothing but one partial count per document is shuffled; a larger one
-    joins by word, where adaptive execution splits a frequent word's partition.  The list keeps
-    its case, as given: entries with capitals never match."""
+    joins by word, where adaptive execution splits a frequent word's partition.  The distinct list is
+    stored, so measuring it does not compute it twice.  It keeps its case, as given: entries with capitals never match."""
     listed = lexicon.select(F.col(lexicon.columns[0]).alias("word")).where("word IS NOT NULL").distinct()
-    listed = broadcast_checked(listed.withColumn("common", F.lit(1)), max_broadcast)
+    listed = broadcast_checked(materialize(listed).withColumn("common", F.lit(1)), max_broadcast)
     exploded = distinct_words(df, text).select("doc_id", F.explode_outer("words").alias("word"))
     counted = (
         exploded.join(listed, "word", "left")
@@ -59,7 +60,7 @@ def unusual_words(
 
 def words_outside(df: DataFrame, lexicon: DataFrame, text: str = "text") -> DataFrame:
     """The set difference itself: ``(doc_id, word)`` for distinct words that the lexicon lacks."""
-    listed = broadcast_checked(lexicon.select(F.col(lexicon.columns[0]).alias("word")).distinct())
+    listed = broadcast_checked(materialize(lexicon.select(F.col(lexicon.columns[0]).alias("word")).distinct()))
     exploded = explode_computed(distinct_words(df, text), F.col("words"), ["word"], ["doc_id"])
     return exploded.join(listed, "word", "left_anti").select("doc_id", "word")
 

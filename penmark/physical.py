@@ -6,20 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A broadcast lookup table may hold at most this many rows (about 100 MB of short strings).
+# A broadcast lookup table may hold at most this many rows and this many bytes of values.
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 200_000_000
 # A table whose rows pass through the driver as model parameters may hold at most this many.
 MAX_LOCAL_ROWS = 100_000
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.  ``limit`` stops the count early."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def value_bytes(field: T.StructField) -> Column:
+    """Bytes that a value takes, about: length of text, 8 for a number, JSON length for the rest."""
+    col = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        size = F.octet_length(col)
+    elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+        size = 8 * F.size(col)
+    elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        size = F.octet_length(F.to_json(F.struct(col)))
+    else:
+        return F.lit(8)
+    return F.coalesce(size, F.lit(0))
+
+
+def fits(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes.  Reads ``df`` once, so
+    what is dear to compute is stored first."""
+    size = sum((value_bytes(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    rows, held = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= max_rows and held <= max_bytes
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the size was measured; otherwise leave the choice to Spark
+    """Broadcast hint only after rows and bytes were measured; otherwise leave the choice to Spark
     (a shuffle join, with skewed partitions split by adaptive execution)."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
@@ -35,12 +54,25 @@ def localize(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def collect_top(df: DataFrame, order: Sequence[Column], m: int) -> list[Row]:
-    """The first ``m`` rows in the given order.
+def at_least_top(df: DataFrame, count: str, m: int) -> DataFrame:
+    """The rows that can be among the ``m`` with the largest positive ``count``: all rows of the
+    highest count cells (sixteenths of an octave) that together hold ``m``.  Beyond ``m`` these are
+    the rows of the last cell only, however many tasks there are.  ``df`` is read twice."""
+    cell = F.floor(16 * F.log2(F.col(count)))
+    left = m
+    for r in df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("cell")).collect():
+        left -= r["n"]
+        if left <= 0:
+            return df.where(cell >= r["cell"])
+    return df
+
+
+def collect_top(df: DataFrame, count: str, then: Sequence[Column], m: int) -> list[Row]:
+    """The first ``m`` rows by falling ``count``, then by ``then``; ``df`` is a stored table.
 
-    ``coalesce`` above the limit makes the tasks' candidates meet in one streaming task
-    instead of in the driver, which then receives ``m`` rows and not ``m`` per task."""
-    return df.orderBy(*order).limit(m).coalesce(1).collect()
+    Rows below the last count cell stay in their tasks, so what reaches the driver does not grow
+    with the number of tasks."""
+    return at_least_top(df, count, m).orderBy(F.desc(count), *then).limit(m).collect()
 
 
 def spread_unmatched(key: Column, can_match: Column, *row_id: Column) -> Column:
