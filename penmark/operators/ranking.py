@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 20  # cells per unit of value in the two-level rank
+from penmark.physical import localize
+
+CELLS = 1 << 20  # cells per unit of value in the signed-rank sums
+SPLITS = 256  # cells of a part in the two-level rank
 
 
 def value_cell(value: Column) -> Column:
-    """Order-preserving cell of a non-negative value.  With values rounded to 12 digits a cell
-    holds at most about a million distinct values, and values up to 1 fill at most 2**20 cells:
-    both levels of a ranking stay small however the values are distributed."""
+    """Order-preserving cell of a value in [0, 1]: with values rounded to 12 digits a cell holds at
+    most about a million distinct ones, and there are at most 2**20 cells."""
     return F.floor(value * F.lit(float(CELLS))).cast("bigint")
 
 
@@ -23,21 +25,30 @@ def average_rank(df: DataFrame, part: str, col: str) -> DataFrame:
 
     Equal values are counted before the shuffle, so a value shared by a third of all rows is one
     row per task.  Ranks come from two small running sums, over the cells of a part and over the
-    values of a cell, so a part with most of the rows is still ranked by many tasks."""
+    values of a cell, so a part with most of the rows is still ranked by many tasks.  Cells lie
+    between approximate quantiles of the part's own values, whatever their range or distribution.
+    A null part is a part of its own; null and NaN values rank last."""
     counts = df.groupBy(part, F.round(F.col(col), 12).alias("value")).agg(F.count(F.lit(1)).alias("ties"))
-    counts = counts.withColumn("cell", value_cell(F.col("value")))
+    shares = [i / SPLITS for i in range(1, SPLITS)]
+    splits = counts.groupBy(F.col(part).alias("_part")).agg(F.percentile_approx("value", shares, 10 * SPLITS).alias("_splits"))
+    counts = counts.join(localize(splits, 4_000), F.col(part).eqNullSafe(F.col("_part")))
+    above = F.size(F.filter(F.coalesce("_splits", F.array()), lambda x: F.col("value") > x))
+    cell = F.when(F.col("value").isNull(), SPLITS + 1).otherwise(above)
+    counts = counts.select(part, "value", "ties", cell.alias("cell"))
+    by_value = F.asc_nulls_last("value")
     upto = (Window.unboundedPreceding, Window.currentRow)
     before = (Window.unboundedPreceding, -1)
     cells = counts.groupBy(part, "cell").agg(F.sum("ties").alias("in_cell"))
     offsets = cells.select(
-        part,
-        "cell",
+        F.col(part).alias("_part"),
+        F.col("cell").alias("_cell"),
         F.coalesce(F.sum("in_cell").over(Window.partitionBy(part).orderBy("cell").rowsBetween(*before)), F.lit(0)).alias("offset"),
     )
-    local = F.sum("ties").over(Window.partitionBy(part, "cell").orderBy("value").rowsBetween(*upto))
+    local = F.sum("ties").over(Window.partitionBy(part, "cell").orderBy(by_value).rowsBetween(*upto))
+    same = F.col(part).eqNullSafe(F.col("_part")) & (F.col("cell") == F.col("_cell"))
     return (
         counts.withColumn("cum", local)
-        .join(offsets, [part, "cell"])
+        .join(offsets, same)
         .select(
             part,
             "value",

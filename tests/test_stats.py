@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from penmark.operators import ranking as W
 from penmark.operators import sampling as P
 from penmark.operators import significance as Z
 from penmark.operators.joins import pair_predictions
+from penmark.physical import at_least_top, collect_top, fits
 
 
 def wilcoxon_brute(d):
@@ -78,6 +80,33 @@ def test_average_rank(spark):
     assert got == {0.0: 1.5, 0.5: 4.0, 3.0: 6.0}
 
 
+def test_average_rank_of_any_range(spark):
+    """Values far above 1, negative ones, and most of them close together."""
+    values = [float(v * v) for v in range(0, 1000, 2)] * 2 + [1e-9 * v for v in range(500)] + [-5.0, 1e6, 1e6]
+    df = spark.createDataFrame([("p", v) for v in values] + [(None, 7.0), ("p", None)], "part string, v double")
+    want = pd.Series(values).rank().groupby(pd.Series(values).round(12)).first().to_dict()
+    rows = W.average_rank(df, "part", "v").collect()
+    got = {r["value"]: r["rank"] for r in rows if r["part"] == "p" and r["value"] is not None}
+    assert got == want
+    assert [r["rank"] for r in rows if r["part"] is None] == [1.0]
+    assert [r["rank"] for r in rows if r["value"] is None] == [len(values) + 1.0]
+
+
+def test_top_rows_leave_their_tasks(spark):
+    df = spark.range(0, 20_000, 1, 50).selectExpr("id AS term", "cast(1e6 / (id + 1) AS bigint) AS c")
+    kept = at_least_top(df, "c", 100).count()
+    assert 100 <= kept <= 110
+    assert [r["term"] for r in collect_top(df, "c", [F.asc("term")], 100)] == list(range(100))
+    assert len(collect_top(df.limit(5), "c", [F.asc("term")], 100)) == 5
+    assert collect_top(df.limit(0), "c", [F.asc("term")], 100) == []
+
+
+def test_broadcast_is_checked_by_bytes(spark):
+    wide = spark.range(100).selectExpr("repeat('x', 1000) AS word", "array(id, id) AS a", "struct(id) AS s")
+    assert fits(wide, 100) and not fits(wide, 99) and not fits(wide, 100, 100_000)
+    assert fits(wide, 100, 110_000) and fits(wide.limit(0), 0, 0)
+
+
 def test_holm(spark):
     df = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.04, 0.03, 0.005, None])], "i int, p_value double")
     got = {r["i"]: (r["p_value_corrected"], r["significant"]) for r in W.holm(df).collect()}
