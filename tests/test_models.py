@@ -156,6 +156,17 @@ def test_vector_cells(spark):
     assert all(len(r["v"]) == 2 for r in padded) and math.isnan([r for r in padded if r["i"] == 3][0]["v"][1])
 
 
+@pytest.mark.parametrize("at_once", [1, 50_000])
+def test_projection_of_sparse_dense_and_empty_rows(spark, monkeypatch, at_once):
+    monkeypatch.setattr("penmark.operators.svd.TERMS_AT_ONCE", at_once)
+    model = SvdModel(np.arange(21.0).reshape(7, 3) ** 1.5, np.ones(3))
+    rows = [Vectors.sparse(7, {1: 2.0, 5: 1.0}), Vectors.sparse(7, {}), Vectors.dense(list(range(7))), Vectors.sparse(7, {6: 1.5})]
+    for some in (rows, [rows[0], rows[1], rows[3]], [rows[2]], [rows[1]]):
+        df = spark.createDataFrame(list(enumerate(some)), ["doc_id", "tfidf"]).coalesce(1)
+        got = [r["tfidf"] for r in model.transform(df).orderBy("doc_id").collect()]
+        assert np.allclose(got, [v.toArray() @ model.components for v in some])
+
+
 def test_svd_matches_numpy(spark, tmp_path):
     x = RNG.random((40, 12)) * (RNG.random((40, 12)) < 0.4)
     df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x)], ["doc_id", "tfidf"])
