@@ -21,6 +21,7 @@ from penmark.operators.svd import svd_reduce
 from penmark.operators.tfidf import fit_tfidf
 from penmark.physical import spread_small
 from penmark.plans.registry import Registry
+from penmark.plans.stats import cut_sql
 from penmark.plans.tables import documents, rounded, scratch, table
 from penmark.session import materialize
 from penmark.sources import io
@@ -241,14 +242,23 @@ def evaluate_classifier(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    cut_sql(0.2)
+    + " SELECT doc_id, quality::bigint AS label, true AS same_label, true AS same_probability FROM r"
+    " WHERE rn <= round_even(0.2::double * n, 0)"
+)
 def saved_model_round_trip(spark, sf_dir):
-    """Predictions of a stored and reloaded model."""
+    """A stored and reloaded model against the fitted one, per test document."""
     train, test = _features(spark, sf_dir)
     path = scratch(spark, "models")
-    io.save_models({("Single - Feat", "LogisticReg"): CL.fit_lr(train)}, path)
-    preds = CL.predict(io.load_model(path, "Single - Feat", "LogisticReg"), test)
-    return rounded(preds.select("doc_id", "predicted_label", "prediction_probability"))
+    fitted = CL.fit_lr(train)
+    io.save_models({("Single - Feat", "LogisticReg"): fitted}, path)
+    fresh = CL.predict(fitted, test).select("doc_id", "label", "predicted_label", "prediction_probability")
+    loaded = CL.predict(io.load_model(path, "Single - Feat", "LogisticReg"), test)
+    loaded = loaded.select("doc_id", c("predicted_label").alias("again"), c("prediction_probability").alias("p_again"))
+    same = (c("predicted_label") == c("again")).alias("same_label")
+    same_p = (c("prediction_probability") == c("p_again")).alias("same_probability")
+    return rounded(fresh.join(loaded, "doc_id", "full").select("doc_id", "label", same, same_p))
 
 
 _GRIDS: dict[tuple[str, str], tuple[DataFrame, str]] = {}

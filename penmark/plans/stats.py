@@ -145,14 +145,14 @@ def percentile_of_coefficients(spark, sf_dir):
 _U = "('0x' || left(md5(doc_id::varchar || ':42'), 8))::bigint"
 
 
-def _cut_sql(frac: float) -> str:
+def cut_sql(frac: float) -> str:
     return f"""
 WITH r AS (
   SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_U}, doc_id) AS rn, count(*) OVER (PARTITION BY quality) AS n
   FROM labels JOIN documents USING (doc_id))"""
 
 
-@query(_cut_sql(0.1) + " SELECT doc_id, quality::bigint AS label FROM r WHERE rn <= round_even(0.1::double * n, 0)")
+@query(cut_sql(0.1) + " SELECT doc_id, quality::bigint AS label FROM r WHERE rn <= round_even(0.1::double * n, 0)")
 def stratified_sample(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", c("quality").cast("int").alias("label"))
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -160,7 +160,7 @@ def stratified_sample(spark, sf_dir):
 
 
 @query(
-    _cut_sql(0.2)
+    cut_sql(0.2)
     + " SELECT doc_id, quality::bigint AS label, CASE WHEN rn <= round_even(0.2::double * n, 0) THEN 'test' ELSE 'train' END AS split FROM r"
 )
 def stratified_split(spark, sf_dir):
