@@ -4,8 +4,11 @@ A line is parsed down a tree of fixed depth: first by its number of words, then
 ``LEAD`` words; words with a digit count as a variable field, written ``<*>``, everywhere.  In a leaf
 that holds several different lines, a word stays in the template only where at least ``support`` lines
 of the leaf have it at that place; other places become ``<*>``.  A line whose template keeps less than
-``min_constant`` of its places keeps its own words instead.  Templates that occur in at least
-``min_docs`` documents are boilerplate: their lines are dropped from every document.
+``min_constant`` of its places keeps its own form instead: its words with digits as fields, or, with
+``exact_rows`` and where these fields alone leave less than ``min_constant`` (rows of numbers, dates),
+its words as they are.  Without ``exact_rows`` (as the query does not run) such rows all share a form.
+Templates that occur in at least ``min_docs`` documents are boilerplate: their lines are dropped from
+every document.
 
 1. One scan counts the documents of each leaf (leaves of one document counted once, combined before
    the shuffle).  Leaves below ``min_docs`` cannot hold a recurring template and are left out, by
@@ -36,9 +39,14 @@ MIN_CONSTANT = 0.7
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
+def masked(tokens: Column) -> Column:
     """Words of a line, those with a digit replaced by the field mark."""
-    return F.transform(words(line), lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+    return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
+
+
+def constant(tokens: Column, min_constant: float) -> Column:
+    """True where enough places of a form are words, not fields."""
+    return F.size(F.filter(tokens, lambda t: t != FIELD)) >= min_constant * F.size(tokens)
 
 
 def leaf(tokens: Column) -> Column:
@@ -59,20 +67,33 @@ def dropped_lines(
     min_words: int = MIN_WORDS,
     support: int = SUPPORT,
     min_constant: float = MIN_CONSTANT,
+    exact_rows: bool = False,
 ) -> DataFrame:
     """``key_a, key_b, gone``: the line numbers (from 0) that each document loses."""
-    parsed = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", masked).alias("parsed"))
+    parsed = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", lambda x: masked(words(x))).alias("parsed"))
     long_enough = F.filter("parsed", lambda t: F.size(t) >= min_words)
     leaves = parsed.select(*KEYS, F.transform(long_enough, leaf).alias("leaves"))
     leaves = explode_computed(leaves, F.array_distinct("leaves"), ["leaf"])
     common = leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     common = broadcast_checked(store.put(common, "leaves"))
 
-    found = posexplode_computed(parsed, F.col("parsed"), ["at", "tokens"], KEYS).where(F.size("tokens") >= min_words)
+    # Masked words and, for lines that fields would blur, hashes of the words as they are.
+    split = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", words).alias("split"))
+    both = F.transform(
+        "split",
+        lambda w: F.struct(
+            masked(w).alias("tokens"), *[F.xxhash64(F.lit(f"own {x}"), w).alias(f"own_{x}") for x in "ab"]
+        ),
+    )
+    found = posexplode_computed(split, both, ["at", "line"], KEYS).select(*KEYS, "at", "line.*")
+    found = found.where(F.size("tokens") >= min_words)
     found = found.withColumn("leaf", leaf(F.col("tokens"))).join(common, "leaf")
     hashes = [F.xxhash64("tokens").alias("line_a"), F.xxhash64(F.lit("line"), "tokens").alias("line_b")]
     line = ["line_a", "line_b"]
-    found = store.put(found.select(*KEYS, "at", "leaf", *hashes, F.array_join("tokens", " ").alias("line")), "found")
+    blurred = F.lit(exact_rows) & ~constant(F.col("tokens"), min_constant)
+    own = [F.when(blurred, F.col(c)).alias(c) for c in ("own_a", "own_b")]
+    found = found.select(*KEYS, "at", "leaf", *hashes, *own, F.array_join("tokens", " ").alias("line"))
+    found = store.put(found, "found")
     different = found.groupBy("leaf", *line).agg(F.count("*").alias("n"), F.min("line").alias("line"))
     different = store.put(different.withColumn("tokens", F.split("line", " ")).drop("line"), "different")
 
@@ -91,14 +112,16 @@ def dropped_lines(
             lambda t, i: F.when((i < LEAD) | F.coalesce(F.array_contains("firm", i), F.lit(False)), t).otherwise(FIELD),
         ).alias("template"),
     )
-    fixed = F.size(F.filter("template", lambda t: t != FIELD)) >= min_constant * F.size("template")
-    shaped = shaped.where(fixed & (F.col("template") != F.col("tokens")))
+    shaped = shaped.where(constant(F.col("template"), min_constant) & (F.col("template") != F.col("tokens")))
     shaped = shaped.select(
         *line, F.xxhash64("template").alias("made_a"), F.xxhash64(F.lit("line"), "template").alias("made_b")
     )
     shaped = broadcast_checked(store.put(shaped, "shaped"))
     named = found.join(shaped, line, "left").select(
-        *KEYS, "at", F.coalesce("made_a", "line_a").alias("form_a"), F.coalesce("made_b", "line_b").alias("form_b")
+        *KEYS,
+        "at",
+        F.coalesce("own_a", "made_a", "line_a").alias("form_a"),
+        F.coalesce("own_b", "made_b", "line_b").alias("form_b"),
     )
     named = store.put(named, "named")
     per_form = named.select(*KEYS, "form_a", "form_b").distinct().groupBy("form_a", "form_b").count()

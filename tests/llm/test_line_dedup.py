@@ -1,8 +1,10 @@
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 from llm.helpers import ODD, docs_frame, sentence, words
 from penmark.llm import line_dedup as op
+from penmark.llm.queries import op2_line_dedup
 
 SETTINGS = {"min_docs": 4, "min_words": 3, "support": 4, "min_constant": 0.7}
 
@@ -91,3 +93,13 @@ def test_empty_table_columns_and_plan(spark):
     df = op.drop_templates(clash, **SETTINGS)
     assert sorted(map(tuple, df.collect()), key=str) == expected(corpus())
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_differing_numeric_rows_stay(spark, tmp_path):
+    rows = [(i, f"{i} {i + 7}.5 {3 * i}\n1 2 3\non 2024-01-{i:02d} {i}:30\nPrinted on page {i} of the same book") for i in range(20)]
+    want = {i: f"{i} {i + 7}.5 {3 * i}\non 2024-01-{i:02d} {i}:30" for i in range(20)}
+    got = op.drop_templates(docs_frame(spark, rows), **SETTINGS, exact_rows=True).collect()
+    assert {r["doc_id"]: r["kept_text"] for r in got} == want
+    docs_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    by_query = {r["doc_id"]: r["kept_sha256"] for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert by_query == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
