@@ -18,7 +18,8 @@ every document.
 4. Documents per template are counted on distinct (template, document) pairs, and line numbers to drop
    return to their documents.
 
-Nulls and limits: null and empty texts have no lines.  Lines under ``min_words`` words are kept.
+Nulls and limits: null and empty texts have no lines.  Lines under ``min_words`` words are kept
+(the query sets 1, so that only lines without a word are; up to ``LEAD`` words a form is the whole line).
 Rows equal in id and text count as one document and lose the same lines.  A null id is kept.  Extra
 columns are ignored.  An empty table gives an empty table.
 """

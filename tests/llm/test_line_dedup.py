@@ -103,3 +103,13 @@ def test_differing_numeric_rows_stay(spark, tmp_path):
     docs_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     by_query = {r["doc_id"]: r["kept_sha256"] for r in op2_line_dedup(spark, str(tmp_path)).collect()}
     assert by_query == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+
+
+def test_query_drops_short_lines(spark, tmp_path):
+    """Lines of one or two words in ten documents go, exact forms only: page numbers stay."""
+    lines = [f"own{'abcdefghijkl'[i]}\nRead more\n\n{100 + i}\nShare\nonly here {'abcdefghijkl'[i]}" for i in range(12)]
+    rows = [(i, line + ("\nRarely" if i < 9 else "")) for i, line in enumerate(lines)]
+    docs_frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_dropped"], r["kept_sha256"]) for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {i: t.replace("\nRead more", "").replace("\nShare", "") for i, t in rows}
+    assert got == {i: (2, hashlib.sha256(t.encode()).hexdigest()) for i, t in kept.items()}
