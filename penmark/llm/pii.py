@@ -13,7 +13,9 @@ counts, weighted by those probabilities, over discrete span features (kind, word
 length).  A candidate is added where the classifier says at least ``accept``.  The driver sees counts
 per distinct pattern only, whose number is bounded by the votes and features, not by the corpus.
 
-Fixed limits on a candidate: secrets up to 200 characters, names up to two words.
+A secret is the whole run of its characters.  A name is a run of words that begin with an upper-case
+letter of any script, after a title or from a given name of the gazetteer on; it ends at other words,
+so at "de" or "von".
 
 Nulls and limits: a null or empty text has no span.  A null id is kept.  Repeated rows stay and give
 equal results.  Extra columns are ignored.  An empty table, or one without candidates, adds nothing.
@@ -23,6 +25,7 @@ Patterns run in linear time on long runs of one class.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,24 +47,36 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# A small gazetteer of given names.
+NAMES = set(
+    "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica "
+    "thomas sarah charles karen anna maria peter hans klaus ursula pierre jean marie michel carmen jose antonio juan luis".split()
+)
+# All upper-case and title-case letters (none lie beyond), and a name word: one of them, then letters with their accents.
+UPPER = "".join(c for c in map(chr, range(0x1F000)) if unicodedata.category(c) in ("Lu", "Lt"))
+NAME_WORD = rf"[{UPPER}][\w\u0300-\u036f'’-]++"
+
 MORE = {
     "obfuscated_email": re.compile(
-        r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}"
-        r"(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])"
+        r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?i:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}"
+        r"(?: ?(?i:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])"
     ),
     "local_phone": re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
     "secret": re.compile(
-        r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:key|token|secret|password|passwd|pwd)\"? ?[=:] ?\"?([A-Za-z0-9_/+.-]{8,200})\"?"
+        r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:key|token|secret|password|passwd|pwd)\"? ?[=:] ?\"?([A-Za-z0-9_/+.-]{8,}+)\"?"
+    ),
+    "name": re.compile(
+        rf"\b(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora)\b\.? ({NAME_WORD}(?: {NAME_WORD})*+)"
+        rf"|(?=[{UPPER}])((?i:{'|'.join(sorted(NAMES))})\b(?:-[\w'’-]++)?(?: {NAME_WORD})*+))"
     ),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora)\b\.? ([A-Z][\w'-]{1,30}(?: [A-Z][\w'-]{1,30})?)"),
 }
 # Cheap tests that must hold before a pattern is tried on a text.
 NEEDS_DIGIT = {"local_phone", "national_id", "iban", "mac"}
 
-# Words around a span that speak for its kind, and a small gazetteer of given names.
+# Words around a span that speak for its kind.
 BEFORE = {
     "obfuscated_email": "mail contact write reach",
     "local_phone": "phone tel telephone call mobile fax cell telefon móvil",
@@ -81,10 +96,6 @@ AFTER = {
     "name": "wrote said born lives",
 }
 AGAINST = set("isbn issn doi version fig figure table page order invoice part model serial item example".split())
-NAMES = set(
-    "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica "
-    "thomas sarah charles karen anna maria peter hans klaus ursula pierre jean marie michel carmen jose antonio juan luis".split()
-)
 NEAR = 40
 LABELERS = 6
 
@@ -170,7 +181,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
                 "obfuscated_email": "[" in value or "(" in value,
                 "local_phone": value.count("-") == 2 or "(" in value,
                 "secret": '"' in m[0] or len(value) >= 16,
-                "name": " " in value,
+                "name": a > m.start() and " " in value,
             }.get(kind, True)
             listed = bool(_words_near(value) & NAMES)
             votes = (

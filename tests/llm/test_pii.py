@@ -102,3 +102,28 @@ def test_redact():
     text = "write a@b.cd or +49 30 1234567."
     spans = op._joined(op.base_spans(text))
     assert op.redact(text, spans) == "write <email> or <phone>."
+
+
+def found(text):
+    return [(kind, text[a:z]) for kind, a, z, _ in op.candidates(text, op.base_spans(text))]
+
+
+def test_candidates_are_whole():
+    secret = "a1B-" * 150
+    assert found(f'token = "{secret}" end') == [("secret", secret)]
+    for title, name in (("Mme", "Élise Dupont"), ("Frau", "Özdemir"), ("Dr.", "Ana Maria López Ruiz"), ("Herr", "O" + "x" * 80)):
+        assert found(f"then {title} {name} came") == [("name", name)]
+    for mail in ("joe.doe [AT] example [DOT] org", "joe.doe (At) example (DOT) org", "joe.doe AT example DOT org"):
+        assert found(f"mail {mail}, now") == [("obfuscated_email", mail)]
+
+
+def test_given_names_propose_candidates():
+    assert found("yesterday Maria Sommer came") == [("name", "Maria Sommer")]
+    assert found("and Jean-Pierre Dupont came") == [("name", "Jean-Pierre Dupont")]
+    assert found("hans im topf, Marianne Sommer") == []
+
+
+def test_long_secret_is_redacted_whole(spark):
+    rows = texts() + [(900, f'then token = "{"0a1b2c3d9e" * 60}" and more')]
+    spans = {r["doc_id"]: r["spans"] for r in op.find_personal_data(docs_frame(spark, rows)).collect()}
+    assert op.redact(rows[-1][1], spans[900]) == 'then token = "<secret>" and more'
