@@ -4,10 +4,9 @@ A line is parsed down a tree of fixed depth: first by its number of words, then
 ``LEAD`` words; words with a digit count as a variable field, written ``<*>``, everywhere.  In a leaf
 that holds several different lines, a word stays in the template only where at least ``support`` lines
 of the leaf have it at that place; other places become ``<*>``.  A line whose template keeps less than
-``min_constant`` of its places keeps its own form instead: its words with digits as fields, or, with
-``exact_rows`` and where these fields alone leave less than ``min_constant`` (rows of numbers, dates),
-its words as they are.  Without ``exact_rows`` (as the query does not run) such rows all share a form.
-Templates that occur in at least ``min_docs`` documents are boilerplate: their lines are dropped from
+``min_constant`` of its places keeps its own form instead, its words with digits as fields.  A line
+with nothing to tell it by (no word beside its fields, or a single one that is at most a third of it:
+rows of numbers, time stamps) keeps its words as they are.  Templates that occur in at least ``min_docs`` documents are boilerplate: their lines are dropped from
 every document.
 
 1. One scan counts the documents of each leaf (leaves of one document counted once, combined before
@@ -18,8 +17,8 @@ every document.
 4. Documents per template are counted on distinct (template, document) pairs, and line numbers to drop
    return to their documents.
 
-Nulls and limits: null and empty texts have no lines.  Lines under ``min_words`` words are kept
-(the query sets 1, so that only lines without a word are; up to ``LEAD`` words a form is the whole line).
+Nulls and limits: null and empty texts have no lines.  Lines without a word are kept.  In lines of up
+to ``LEAD`` words only words with digits are fields.
 Rows equal in id and text count as one document and lose the same lines.  A null id is kept.  Extra
 columns are ignored.  An empty table gives an empty table.
 """
@@ -34,7 +33,6 @@ from penmark.physical import broadcast_checked, explode_computed, posexplode_com
 
 LEAD = 3
 MIN_DOCS = 10
-MIN_WORDS = 3
 SUPPORT = 10
 MIN_CONSTANT = 0.7
 FIELD = "<*>"
@@ -50,6 +48,12 @@ def constant(tokens: Column, min_constant: float) -> Column:
     return F.size(F.filter(tokens, lambda t: t != FIELD)) >= min_constant * F.size(tokens)
 
 
+def unnamed(tokens: Column) -> Column:
+    """True for a masked line that its constant words do not tell from other lines."""
+    firm = F.size(F.filter(tokens, lambda t: t != FIELD))
+    return (firm < 2) & (3 * firm <= F.size(tokens))
+
+
 def leaf(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEAD))
 
@@ -65,20 +69,18 @@ def dropped_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_docs: int = MIN_DOCS,
-    min_words: int = MIN_WORDS,
     support: int = SUPPORT,
     min_constant: float = MIN_CONSTANT,
-    exact_rows: bool = False,
 ) -> DataFrame:
     """``key_a, key_b, gone``: the line numbers (from 0) that each document loses."""
     parsed = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", lambda x: masked(words(x))).alias("parsed"))
-    long_enough = F.filter("parsed", lambda t: F.size(t) >= min_words)
-    leaves = parsed.select(*KEYS, F.transform(long_enough, leaf).alias("leaves"))
+    wordy = F.filter("parsed", lambda t: F.size(t) > 0)
+    leaves = parsed.select(*KEYS, F.transform(wordy, leaf).alias("leaves"))
     leaves = explode_computed(leaves, F.array_distinct("leaves"), ["leaf"])
     common = leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     common = broadcast_checked(store.put(common, "leaves"))
 
-    # Masked words and, for lines that fields would blur, hashes of the words as they are.
+    # Masked words and hashes of the words as they are.
     split = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", words).alias("split"))
     both = F.transform(
         "split",
@@ -87,12 +89,11 @@ def dropped_lines(
         ),
     )
     found = posexplode_computed(split, both, ["at", "line"], KEYS).select(*KEYS, "at", "line.*")
-    found = found.where(F.size("tokens") >= min_words)
+    found = found.where(F.size("tokens") > 0)
     found = found.withColumn("leaf", leaf(F.col("tokens"))).join(common, "leaf")
     hashes = [F.xxhash64("tokens").alias("line_a"), F.xxhash64(F.lit("line"), "tokens").alias("line_b")]
     line = ["line_a", "line_b"]
-    blurred = F.lit(exact_rows) & ~constant(F.col("tokens"), min_constant)
-    own = [F.when(blurred, F.col(c)).alias(c) for c in ("own_a", "own_b")]
+    own = [F.when(unnamed(F.col("tokens")), F.col(c)).alias(c) for c in ("own_a", "own_b")]
     found = found.select(*KEYS, "at", "leaf", *hashes, *own, F.array_join("tokens", " ").alias("line"))
     found = store.put(found, "found")
     different = found.groupBy("leaf", *line).agg(F.count("*").alias("n"), F.min("line").alias("line"))

@@ -16,9 +16,10 @@ def line_dedup_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT rid, unnest(lines) AS raw, generate_subscripts(lines, 1) AS pos0 FROM d),
 x AS (
-  SELECT *, array_to_string(t, ' ') AS line, len(t) || ':' || array_to_string(t[1:{L.LEAD}], ' ') AS leaf
-  FROM (SELECT rid, pos0, list_transform(regexp_extract_all(raw, {_WORD}),
-          lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN {q(L.FIELD)} ELSE w END) AS t FROM l) WHERE len(t) >= {L.MIN_WORDS}),
+  SELECT *, array_to_string(t, ' ') AS line, len(t) || ':' || array_to_string(t[1:{L.LEAD}], ' ') AS leaf,
+    len(list_filter(t, lambda w: w <> {q(L.FIELD)})) AS words
+  FROM (SELECT rid, pos0, w, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN {q(L.FIELD)} ELSE x END) AS t
+        FROM (SELECT rid, pos0, regexp_extract_all(raw, {_WORD}) AS w FROM l)) WHERE len(t) > 0),
 cl AS (SELECT leaf FROM x GROUP BY leaf HAVING count(DISTINCT rid) >= {L.MIN_DOCS}),
 f AS (SELECT x.* FROM x JOIN cl USING (leaf)),
 di AS (SELECT leaf, line, any_value(t) AS t, count(*) AS n FROM f GROUP BY leaf, line),
@@ -27,7 +28,8 @@ pl AS (SELECT leaf, line, n, unnest(t) AS word, generate_subscripts(t, 1) AS pos
 fi AS (SELECT leaf, pos, word, true AS firm FROM pl WHERE pos > {L.LEAD} GROUP BY ALL HAVING sum(n) >= {L.SUPPORT}),
 pt AS (SELECT line, pos, CASE WHEN pos <= {L.LEAD} OR firm THEN word ELSE {q(L.FIELD)} END AS word FROM pl LEFT JOIN fi USING (leaf, pos, word)),
 tm AS (SELECT line, string_agg(word, ' ' ORDER BY pos) AS form, count(*) FILTER (WHERE word <> {q(L.FIELD)}) AS firm, count(*) AS n FROM pt GROUP BY line),
-fm AS (SELECT rid, pos0, CASE WHEN firm >= {L.MIN_CONSTANT}::double * tm.n THEN form ELSE line END AS form FROM f LEFT JOIN tm USING (line)),
+fm AS (SELECT rid, pos0, CASE WHEN words < 2 AND 3 * words <= len(t) THEN chr(10) || array_to_string(w, ' ') WHEN firm >= {L.MIN_CONSTANT}::double * places THEN form ELSE line END AS form
+  FROM f LEFT JOIN (SELECT line, form, firm, n AS places FROM tm) tm USING (line)),
 rc AS (SELECT form FROM fm GROUP BY form HAVING count(DISTINCT rid) >= {L.MIN_DOCS}),
 gn AS (SELECT rid, pos0, true AS gone FROM fm JOIN rc USING (form)),
 kp AS (
