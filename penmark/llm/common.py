@@ -54,3 +54,8 @@ class Store:
         """Remove a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held_fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of an id's text form modulo ``folds``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, sql, substring_dedup
+from penmark.llm import centroid_clusters, chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, sql, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -71,4 +71,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register()
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 QUERIES, SQL = register.queries, register.sql
