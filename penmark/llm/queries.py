@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penmark.llm import centroid_clusters, chat_format, decontaminate, line_dedup, phrase_mining, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, sql, substring_dedup
+from penmark.llm import centroid_clusters, chat_format, decontaminate, line_dedup, ngram_score, phrase_mining, pii, quality_classifier, quality_rules, sharding, simhash_dedup, source_mix, sql, substring_dedup
 from penmark.plans.registry import Registry
 from penmark.plans.tables import table
 
@@ -76,6 +76,11 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op12_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 @register()
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroid_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
