@@ -1,8 +1,8 @@
 """Elias-Fano sequences and an n-gram trie of them, in one memory map, searched for many keys at once.
 
 A sequence holds n increasing integers below U in about 2 + log2(U / n) bits each: low bits packed, high
-bits in unary.  Two count directories (one entry per 64 bits) serve select; a successor search goes to the
-high part's bucket by select and bisects its low bits.
+bits in unary.  A successor search goes to the high part's bucket by select and bisects its low bits.  A
+count directory (one entry per 64 bits) serves a few selects; many at once read the unary part in one pass.
 
 A trie keeps, per level, the words below each context of the level above.  Words are made increasing over
 the whole level by adding the last value of the context before, so a level is one sequence; a word is
@@ -40,6 +40,7 @@ class Sequence:
 
     def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
+        self.places: dict[bool, np.ndarray] = {}
         self.n = n = len(values)
         top = int(values[-1]) + 1 if n else 1
         self.low = max(0, (top // max(1, n)).bit_length() - 1)
@@ -73,6 +74,11 @@ class Sequence:
 
     def _select(self, r: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the r-th (from 0) set or unset bit of the unary part."""
+        if 16 * len(r) > self.n:
+            if ones not in self.places:
+                bits = np.unpackbits(self.parts[1], bitorder="little")
+                self.places[ones] = np.flatnonzero(bits if ones else bits == 0).astype(np.int32 if len(bits) < 1 << 31 else np.int64)
+            return self.places[ones][r].astype(np.int64)
         before = self.parts[2].astype(np.int64)
         if not ones:
             before = 64 * np.arange(len(before)) - before

@@ -49,7 +49,7 @@ FOLDS = 7
 HELD_FOLD = 2
 WEIGHT_2 = 300.0
 WEIGHT_3 = 3.0
-BYTES_AT_ONCE = 12_000_000
+BYTES_AT_ONCE = 4_000_000
 TOKENS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 1 << 16
 END, START, FIRST_WORD = 0, 1, 2
@@ -88,7 +88,7 @@ def distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[byt
         lengths[[i for i, t in enumerate(stripped) if not t]] = 0
         flat = flat.filter(pc.not_equal(pc.binary_length(flat), 0))
     coded = flat.dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     order = np.argsort(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), kind="stable")
     rank = np.empty(len(words), np.uint32)
     rank[order] = np.arange(len(words))
@@ -328,10 +328,12 @@ class Layout:
         node_bucket = np.concatenate([home, guest[:, 0]])
         node = np.concatenate([np.arange(len(u)), guest[:, 1]])
         is_guest = np.arange(len(node)) >= len(u)
-        self.order = np.lexsort((is_guest, node, node_bucket))
-        self.node, self.is_guest = node[self.order], is_guest[self.order]
-        self.node_cut = np.searchsorted(node_bucket[self.order], np.arange(buckets + 1))
-        self.triples = np.lexsort((self.last, self.parent, triple_bucket))
+        # Pairs and triples are in order already; stable sorts keep it within a bucket.
+        order = np.argsort(node, kind="stable") if len(guest) else np.arange(len(node))
+        order = order[np.argsort(node_bucket[order].astype(np.uint16), kind="stable")]
+        self.node, self.is_guest = node[order], is_guest[order]
+        self.node_cut = np.searchsorted(node_bucket[order], np.arange(buckets + 1))
+        self.triples = np.argsort(triple_bucket.astype(np.uint16), kind="stable")
         self.triple_cut = np.searchsorted(triple_bucket[self.triples], np.arange(buckets + 1))
         self.count = np.where(self.is_guest, total[self.node], self.train_pairs[self.node])
 
