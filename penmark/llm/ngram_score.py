@@ -50,7 +50,7 @@ HELD_FOLD = 2
 WEIGHT_2 = 300.0
 WEIGHT_3 = 3.0
 BYTES_AT_ONCE = 4_000_000
-TOKENS_PER_BUCKET = 1_000_000
+TOKENS_PER_BUCKET = 600_000
 MAX_BUCKETS = 1 << 16
 END, START, FIRST_WORD = 0, 1, 2
 UNKNOWN = (1 << 32) - 1
@@ -201,14 +201,16 @@ def word_asks(found: DataFrame, buckets: int) -> DataFrame:
 
 
 def count_words(asks: list[bytes]) -> tuple[list[bytes], bytes]:
-    """Number within the bucket from 1 (0: not in training) and counts of every asked word; the extra
-    answer holds the number of known words and of their occurrences."""
+    """Place within the bucket by falling count, from 1 (0: not in training), and counts of every asked
+    word; the extra answer holds the number of known words and of their occurrences."""
     parts = [unpack(a) for a in asks]
     words = [p[0].tobytes().split(b"\n") for p in parts]
     code = pa.array([w for ws in words for w in ws], pa.binary()).dictionary_encode()
     index = code.indices.to_numpy()
     train, every = (np.bincount(index, weights=np.concatenate([p[k] for p in parts])).astype(np.uint64) for k in (1, 2))
-    number = np.where(train > 0, np.cumsum(train > 0), 0).astype(np.uint32)
+    number = np.zeros(len(train), np.uint32)
+    number[np.argsort(train, kind="stable")[::-1]] = np.arange(1, len(train) + 1)
+    number[train == 0] = 0
     cut = np.cumsum([len(ws) for ws in words])[:-1]
     answers = [pack(number[i], train[i], every[i]) for i in np.split(index, cut)]
     return answers, pack(np.array([(train > 0).sum(), train.sum()], np.uint64))
@@ -217,8 +219,9 @@ def count_words(asks: list[bytes]) -> tuple[list[bytes], bytes]:
 CODED = "chunk bigint, tokens binary, numbers binary"
 
 
-def coded_chunks(found: DataFrame, answers: DataFrame, first: np.ndarray, store: Store) -> DataFrame:
-    """Chunks with the global number and the counts (training, all) of each of their words."""
+def coded_chunks(found: DataFrame, answers: DataFrame, buckets: int, store: Store) -> DataFrame:
+    """Chunks with the global number and the counts (training, all) of each of their words.  Numbers
+    take turns over the buckets, so frequent words have small ones, which pack well."""
     listed = answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
     joined = found.select("chunk", "ids", "tokens").join(listed, "chunk", "left")
     schema = T.StructType([found.schema["ids"], *T.StructType.fromDDL(CODED).fields])
@@ -230,7 +233,7 @@ def coded_chunks(found: DataFrame, answers: DataFrame, first: np.ndarray, store:
                 parts = []
                 for x in sorted(got or [], key=lambda y: y["bucket"]):
                     number, train, every = unpack(x["answer"])
-                    whole = number.astype(np.int64) + int(first[x["bucket"]])
+                    whole = (number.astype(np.int64) - 1) * buckets + x["bucket"] + FIRST_WORD
                     parts.append((np.where(number > 0, whole, UNKNOWN).astype(np.uint32), train, every))
                 if not parts:
                     parts = [(np.zeros(0, np.uint32), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
@@ -492,10 +495,9 @@ def score_documents(
     known = np.zeros((buckets, 2), np.int64)
     for r in answers.where("chunk < 0").collect():  # two numbers per bucket
         known[r["bucket"]] = unpack(r["answer"])[0]
-    if known[:, 0].sum() + FIRST_WORD >= UNKNOWN:
+    if int(known[:, 0].max()) * buckets + FIRST_WORD >= UNKNOWN:
         raise ValueError("more words than 32-bit numbers")
-    first = np.concatenate(([0], np.cumsum(known[:, 0])))[:-1] + FIRST_WORD - 1
-    coded = coded_chunks(found, answers, first, store)
+    coded = coded_chunks(found, answers, buckets, store)
     store.drop("chunks")
     store.drop("words")
     totals = (int(known[:, 1].sum()) + docs_seen[1], int(known[:, 0].sum()) + (docs_seen[1] > 0))
