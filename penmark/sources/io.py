@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penmark.functions import lexicon
+from penmark.operators.linear import LinearModel
 
 CORPUS_SCHEMA = "doc_id bigint, text string, label int"
 PREDICTION_SCHEMA = (
@@ -132,15 +133,25 @@ def write_results(results: DataFrame, path: str) -> None:
     one.withColumns(nested).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
-def save_models(models: Mapping[tuple[str, str], Model], path: str) -> None:
-    for (variant, classifier), model in models.items():
-        model.write().overwrite().save(f"{path}/{slug(variant, classifier)}")
+LINEAR = "linear"
 
 
-def load_model(path: str, variant: str, classifier: str) -> Model:
-    return DefaultParamsReader.loadParamsInstance(
-        f"{path}/{slug(variant, classifier)}", SparkSession.getActiveSession()
-    )
+def save_models(models: Mapping[tuple[str, str], Model | LinearModel], path: str) -> None:
+    for (variant, classifier), model in models.items():
+        folder = f"{path}/{slug(variant, classifier)}"
+        if isinstance(model, LinearModel):
+            model.save(SparkSession.getActiveSession(), f"{folder}/{LINEAR}")
+        else:
+            model.write().overwrite().save(folder)
+
+
+def load_model(path: str, variant: str, classifier: str) -> Model | LinearModel:
+    spark = SparkSession.getActiveSession()
+    folder = f"{path}/{slug(variant, classifier)}"
+    linear = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{LINEAR}")
+    if linear.getFileSystem(spark._jsc.hadoopConfiguration()).exists(linear):
+        return LinearModel.load(spark, f"{folder}/{LINEAR}")
+    return DefaultParamsReader.loadParamsInstance(folder, spark)
 
 
 def word_list(spark: SparkSession, name: str) -> DataFrame:
