@@ -3,31 +3,62 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from penmark.operators.partial_sums import keyed_sums
 from penmark.operators.reshape import pad_vectors, parse_vector_column, vector_width
 from penmark.operators.svd import SvdModel, svd_reduce
 from penmark.operators.tfidf import TfidfModel, fit_tfidf
 from penmark.session import materialize
 
+# The order of blocks in a feature vector.
 BLOCK_ORDER = ["style", "feat", "pplx", "tfidf"]
 
 
-def _column_stats(df: DataFrame, col: str) -> list[tuple[int, float | None, float | None]]:
-    """(position, mean, population deviation) of a vector column, NaN and null skipped.
-
-    Each task sends one partial row per position, so the shuffle has the width of the vector
-    and not the height of the table."""
-    values = df.select(F.posexplode(col).alias("pos", "x")).select(
-        "pos", F.when(~F.isnan("x"), F.col("x").cast("double")).alias("x")
-    )
-    stats = values.groupBy("pos").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return [(r["pos"], r["mean"], r["std"]) for r in stats.collect()]
+Stats = list[tuple[int, float | None, float | None]]
+
+
+def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, Stats]:
+    """Per vector column, (position, mean, population deviation), NaN and null skipped, of all columns in
+    one Arrow pass.  Sums are taken around the first row's values, so large offsets cost no digits."""
+    arrays = df.select(*[F.col(c).cast("array<double>").alias(c) for c in cols])
+    first = arrays.first()
+    if first is None:
+        return {c: [] for c in cols}
+    widths = {c: r for c, r in arrays.agg(*[F.max(F.size(c)).alias(c) for c in cols]).first().asDict().items()}
+    pivots = {}
+    for c in cols:
+        start = [0.0 if x is None or math.isnan(x) else x for x in first[c] or []]
+        pivots[c] = np.array(start + [0.0] * (widths[c] - len(start)))
+
+    def part(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for i, c in enumerate(cols):
+            column, width = batch.column(i), len(pivots[c])
+            lengths = np.array(column.value_lengths().fill_null(0), np.int64)
+            values = column.flatten().to_numpy(zero_copy_only=False)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            there = ~np.isnan(values)
+            place, gap = place[there], values[there] - pivots[c][place[there]]
+            yield i, np.concatenate([np.bincount(place, weights=w, minlength=width) for w in (None, gap, gap * gap)])
+
+    sums = keyed_sums(arrays, part, arrays.rdd.getNumPartitions())
+    out: dict[str, Stats] = {}
+    for i, c in enumerate(cols):
+        n, total, square = sums[i].reshape(3, -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean, spread = total / n, np.sqrt(np.maximum(0.0, square / n - (total / n) ** 2))
+        # What rounding leaves of a constant column is no deviation.
+        spread[spread <= 1e-9 * np.abs(mean)] = 0.0
+        out[c] = [(p, float(pivots[c][p] + mean[p]) if n[p] else None, float(spread[p]) if n[p] else None) for p in range(len(n))]
+    return out
 
 
 def _constants(values: list[float]) -> Column:
@@ -44,7 +75,11 @@ class StandardizeBlock:
 
     @classmethod
     def fit(cls, df: DataFrame, col: str) -> StandardizeBlock:
-        stats = {p: (m, s) for p, m, s in _column_stats(df, col)}
+        return cls.from_stats(column_stats(df, [col])[col])
+
+    @classmethod
+    def from_stats(cls, listed: Stats) -> StandardizeBlock:
+        stats = {p: (m, s) for p, m, s in listed}
         width = max(stats, default=-1) + 1
         mean = [stats.get(i, (0.0, 1.0))[0] or 0.0 for i in range(width)]
         std = [stats.get(i, (0.0, 1.0))[1] or 1.0 for i in range(width)]
@@ -63,7 +98,7 @@ class ImputeMean:
 
     @classmethod
     def fit(cls, df: DataFrame, col: str) -> ImputeMean:
-        stats = {p: m for p, m, _ in _column_stats(df, col)}
+        stats = {p: m for p, m, _ in column_stats(df, [col])[col]}
         return cls([stats.get(i) or 0.0 for i in range(max(stats, default=-1) + 1)])
 
     def transform(self, df: DataFrame, col: str) -> DataFrame:
@@ -139,8 +174,10 @@ def _fit(
         svd = svd_reduce(vectors, k=svd_components)
     model = BlockModel(tfidf, svd, widths)
     raw = materialize(model.raw(train, text or "text"))
-    for block in given + (["tfidf"] if text is not None else []):
-        scaler = StandardizeBlock.fit(raw, block)
+    blocks = given + (["tfidf"] if text is not None else [])
+    stats = column_stats(raw, blocks)
+    for block in blocks:
+        scaler = StandardizeBlock.from_stats(stats[block])
         model.scalers[block] = scaler
         # The mean of a standardised position is 0, so that is what fills its gaps.
         model.imputers[block] = ImputeMean([0.0] * len(scaler.mean))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penmark.functions.hashing import hash_key
 from penmark.operators.blocks import ImputeMean, StandardizeBlock
 from penmark.operators.joins import selected_importances
 from penmark.operators.metrics import confusion_matrix, macro_scores
+from penmark.operators.partial_sums import keyed_sums
 from penmark.operators.ranking import rank_features
 from penmark.operators.reshape import DISPLAY_NAMES, pack_features, rename_values
 
@@ -58,12 +58,23 @@ class RidgeFit:
     scores: dict[float, float]  # alpha -> mean R2 over folds
 
 
-def _gram(df: DataFrame, array_col: str, label: str) -> np.ndarray:
-    """Sum of z zᵀ over rows with z = (1, x, y): summed in a tree over the executors; its size
-    is the square of the number of features."""
-    z = F.concat(F.array(F.lit(1.0)), F.col(array_col), F.array(F.col(label).cast("double")))
-    rows = MLUtils.convertVectorColumnsFromML(df.select(array_to_vector(z).alias("z")), "z")
-    return RowMatrix(rows).computeGramianMatrix().toArray()
+def moment_matrices(df: DataFrame, array_col: str, label: str, key: Column) -> dict[int, np.ndarray]:
+    """Per key (a small integer), the sum of z zᵀ over its rows with z = (1, x, y), all in one Arrow
+    pass: a task sends one matrix per key, whose size is the square of the number of features."""
+
+    def part(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(batch):
+            return
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        z = np.column_stack([np.ones(len(batch)), x, batch.column(2).to_numpy(zero_copy_only=False)])
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        for k in np.unique(keys):
+            own = z[keys == k]
+            yield int(k), (own.T @ own).ravel()
+
+    rows = df.select(key.cast("int"), F.col(array_col).cast("array<double>"), F.col(label).cast("double"))
+    sums = keyed_sums(rows, part, df.rdd.getNumPartitions())
+    return {k: m.reshape(int(len(m) ** 0.5), -1) for k, m in sorted(sums.items())}
 
 
 def _ridge_from_gram(g: np.ndarray, alpha: float) -> tuple[float, np.ndarray]:
@@ -95,12 +106,10 @@ def ridge_select(
     """Ridge with the penalty chosen by cross-validated R2; keeps the features whose |coefficient|
     is above the 25th percentile.
 
-    The data is read once per fold, whatever the number of penalties: every fit and every score
+    The data is read once, whatever the number of folds and penalties: every fit and every score
     follows from the folds' moment matrices.  Folds are made by hash, as rows have no order."""
     fold = F.pmod(hash_key(F.col("doc_id"), seed), F.lit(folds))
-    parts = df.select(array_col, label, fold.alias("fold")).persist()
-    grams = [_gram(parts.where(F.col("fold") == f), array_col, label) for f in range(folds) if not parts.where(F.col("fold") == f).isEmpty()]
-    parts.unpersist()
+    grams = list(moment_matrices(df, array_col, label, fold).values())
     total = sum(grams)
     scores = {}
     for alpha in alphas:
