@@ -61,7 +61,7 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, Stats]:
     return out
 
 
-def _constants(values: list[float]) -> Column:
+def constants(values: list[float]) -> Column:
     """Array literal; folded to a constant before execution."""
     return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
 
@@ -86,8 +86,8 @@ class StandardizeBlock:
         return cls(mean, std)
 
     def transform(self, df: DataFrame, col: str) -> DataFrame:
-        centred = F.zip_with(F.col(col).cast("array<double>"), _constants(self.mean), lambda x, m: x - m)
-        return df.withColumn(col, F.zip_with(centred, _constants(self.std), lambda x, s: x / s))
+        centred = F.zip_with(F.col(col).cast("array<double>"), constants(self.mean), lambda x, m: x - m)
+        return df.withColumn(col, F.zip_with(centred, constants(self.std), lambda x, s: x / s))
 
 
 @dataclass
@@ -104,7 +104,7 @@ class ImputeMean:
     def transform(self, df: DataFrame, col: str) -> DataFrame:
         filled = F.zip_with(
             F.col(col).cast("array<double>"),
-            _constants(self.mean),
+            constants(self.mean),
             lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x),
         )
         return df.withColumn(col, filled)
