@@ -13,9 +13,10 @@ counts, weighted by those probabilities, over discrete span features (kind, word
 length).  A candidate is added where the classifier says at least ``accept``.  The driver sees counts
 per distinct pattern only, whose number is bounded by the votes and features, not by the corpus.
 
-A secret is the whole run of its characters.  A name is a run of words that begin with an upper-case
-letter of any script, after a title or from a given name of the gazetteer on; it ends at other words,
-so at "de" or "von".
+A secret is a value of eight characters or more after a key word and = or :, up to its closing quote or,
+unquoted, to white space, or what follows ``Bearer``.  A name is a run of words that begin with an
+upper-case letter of any script, with particles such as "de la" or "von" between them, after a title or
+from a given name of the gazetteer on.
 
 Nulls and limits: a null or empty text has no span.  A null id is kept.  Repeated rows stay and give
 equal results.  Extra columns are ignored.  An empty table, or one without candidates, adds nothing.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,22 +57,26 @@ NAMES = set(
 # All upper-case and title-case letters (none lie beyond), and a name word: one of them, then letters with their accents.
 UPPER = "".join(c for c in map(chr, range(0x1F000)) if unicodedata.category(c) in ("Lu", "Lt"))
 NAME_WORD = rf"[{UPPER}][\w\u0300-\u036f'’-]++"
+# Particles that may stand between name words.
+PARTICLES = "da das de del den der des di do dos du el la las le les los ten ter van von y zu zum zur"
+MORE_NAMES = rf"(?: (?:(?:{'|'.join(PARTICLES.split())}) )*+{NAME_WORD})*+"
 
 MORE = {
     "obfuscated_email": re.compile(
-        r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?i:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}"
-        r"(?: ?(?i:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}){1,3}(?![A-Za-z0-9])"
+        r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]*+ ?(?i:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]++"
+        r"(?: ?(?i:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]++)++(?![A-Za-z0-9])"
     ),
     "local_phone": re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "mac": re.compile(r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
     "secret": re.compile(
-        r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,20}[_-])?(?:key|token|secret|password|passwd|pwd)\"? ?[=:] ?\"?([A-Za-z0-9_/+.-]{8,}+)\"?"
+        r"(?i)(?:(?<![a-z0-9])(?:api|access|auth|client|private|secret)?(?:key|token|secret|password|passwd|pwd)[\"']? ?[=:] ?"
+        r"(?:\"([^\"\n]{8,}+)\"|'([^'\n]{8,}+)'|(\S{8,}+))|\bbearer +([a-z0-9_~+/.=-]{8,}+))"
     ),
     "name": re.compile(
-        rf"\b(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora)\b\.? ({NAME_WORD}(?: {NAME_WORD})*+)"
-        rf"|(?=[{UPPER}])((?i:{'|'.join(sorted(NAMES))})\b(?:-[\w'’-]++)?(?: {NAME_WORD})*+))"
+        rf"\b(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora)\b\.? ({NAME_WORD}{MORE_NAMES})"
+        rf"|(?=[{UPPER}])((?i:{'|'.join(sorted(NAMES))})\b(?:-[\w'’-]++)?{MORE_NAMES}))"
     ),
 }
 # Cheap tests that must hold before a pattern is tried on a text.
@@ -168,19 +174,27 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     span are left to it."""
     out = []
     has_digit = any(c in text for c in "0123456789")
+    # Base spans as disjoint runs in order.
+    firsts, lasts = [], []
+    for _, first, last in sorted(taken, key=lambda s: s[1]):
+        if lasts and first < lasts[-1]:
+            lasts[-1] = max(last, lasts[-1])
+        else:
+            firsts.append(first)
+            lasts.append(last)
     for kind, pattern in MORE.items():
         if kind in NEEDS_DIGIT and not has_digit:
             continue
         for m in pattern.finditer(text):
             a, z = m.span(m.lastindex or 0)
-            if any(a < end and start < z for _, start, end in taken):
+            if bisect_left(firsts, z) > bisect_right(lasts, a):
                 continue
             value = text[a:z]
             before, after = _words_near(text[max(0, m.start() - NEAR) : a]), _words_near(text[z : z + NEAR])
             strict = {
                 "obfuscated_email": "[" in value or "(" in value,
                 "local_phone": value.count("-") == 2 or "(" in value,
-                "secret": '"' in m[0] or len(value) >= 16,
+                "secret": m[0][-1] in "\"'" or len(value) >= 16,
                 "name": a > m.start() and " " in value,
             }.get(kind, True)
             listed = bool(_words_near(value) & NAMES)

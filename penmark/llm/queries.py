@@ -57,7 +57,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in pii.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+    n_spans = F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("bigint")
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", n_spans.alias("n_spans"))
 
 
 @register(sql.sharding_sql())
