@@ -54,6 +54,7 @@ NAMES = set(
     "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica "
     "thomas sarah charles karen anna maria peter hans klaus ursula pierre jean marie michel carmen jose antonio juan luis".split()
 )
+TITLES = set("Mr Mrs Ms Dr Herr Frau Monsieur Madame Mme Señor Señora".split())
 # All upper-case and title-case letters (none lie beyond), and a name word: one of them, then letters with their accents.
 UPPER = "".join(c for c in map(chr, range(0x1F000)) if unicodedata.category(c) in ("Lu", "Lt"))
 NAME_WORD = rf"[{UPPER}][\w\u0300-\u036f'’-]++"
@@ -75,12 +76,14 @@ MORE = {
         r"(?:\"([^\"\n]{8,}+)\"|'([^'\n]{8,}+)'|(\S{8,}+))|\bbearer +([a-z0-9_~+/.=-]{8,}+))"
     ),
     "name": re.compile(
-        rf"\b(?:(?:Mr|Mrs|Ms|Dr|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora)\b\.? ({NAME_WORD}{MORE_NAMES})"
+        rf"\b(?:(?:{'|'.join(sorted(TITLES))})\b\.? ({NAME_WORD}{MORE_NAMES})"
         rf"|(?=[{UPPER}])((?i:{'|'.join(sorted(NAMES))})\b(?:-[\w'’-]++)?{MORE_NAMES}))"
     ),
 }
 # Cheap tests that must hold before a pattern is tried on a text.
 NEEDS_DIGIT = {"local_phone", "national_id", "iban", "mac"}
+NEEDS_ONE_OF = {"secret": ("=", ":", "earer ", "EARER ")}
+CAPITALISED = re.compile(r"[A-Z]\w*+")
 
 # Words around a span that speak for its kind.
 BEFORE = {
@@ -169,6 +172,19 @@ def _check(kind: str, value: str) -> int:
     return 0
 
 
+def found_in(kind: str, text: str) -> Iterator[re.Match]:
+    """Matches of a kind's pattern; that of names is only tried at titles and given names."""
+    if kind != "name":
+        yield from MORE[kind].finditer(text)
+        return
+    done = 0
+    for word in CAPITALISED.finditer(text):
+        if word.start() >= done and (word[0] in TITLES or word[0].lower() in NAMES):
+            if m := MORE[kind].match(text, word.start()):
+                yield m
+                done = m.end()
+
+
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
     """Further spans with their code: votes, then digits and length classes.  Those that overlap a base
     span are left to it."""
@@ -182,10 +198,12 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
         else:
             firsts.append(first)
             lasts.append(last)
-    for kind, pattern in MORE.items():
+    for kind in MORE:
         if kind in NEEDS_DIGIT and not has_digit:
             continue
-        for m in pattern.finditer(text):
+        if kind in NEEDS_ONE_OF and not any(x in text for x in NEEDS_ONE_OF[kind]):
+            continue
+        for m in found_in(kind, text):
             a, z = m.span(m.lastindex or 0)
             if bisect_left(firsts, z) > bisect_right(lasts, a):
                 continue

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -163,3 +164,11 @@ def test_long_secret_is_redacted_whole(spark):
     rows = texts() + [(900, f'then token = "{"0a1b2c3d9e" * 60}" and more')]
     spans = {r["doc_id"]: r["spans"] for r in op.find_personal_data(docs_frame(spark, rows)).collect()}
     assert op.redact(rows[-1][1], spans[900]) == 'then token = "<secret>" and more'
+
+
+def test_names_at_titles_and_given_names_only_equal_the_whole_pattern():
+    parts = ["Dr. Anna", "xMr Smith", "JAMES Bond", "Hans", "von", "Berg", "Señora Ruiz", "Mrs", "mary Poppins", "Jean-Pierre", "_Maria Doe", "Élise", "Dr", ". ", "-"]
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        text = " ".join(rng.choice(parts, 8))
+        assert [m.span() for m in op.found_in("name", text)] == [m.span() for m in op.MORE["name"].finditer(text)]
