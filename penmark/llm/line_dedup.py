@@ -43,6 +43,11 @@ def masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), F.lit(FIELD)).otherwise(w))
 
 
+def parsed_line(line: Column) -> Column:
+    """Masked words of a line; most lines have no digit and are not looked at word by word."""
+    return F.when(line.rlike("[0-9]"), masked(words(line))).otherwise(words(line))
+
+
 def constant(tokens: Column, min_constant: float) -> Column:
     """True where enough places of a form are words, not fields."""
     return F.size(F.filter(tokens, lambda t: t != FIELD)) >= min_constant * F.size(tokens)
@@ -73,22 +78,22 @@ def dropped_lines(
     min_constant: float = MIN_CONSTANT,
 ) -> DataFrame:
     """``key_a, key_b, gone``: the line numbers (from 0) that each document loses."""
-    parsed = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", lambda x: masked(words(x))).alias("parsed"))
+    parsed = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", parsed_line).alias("parsed"))
     wordy = F.filter("parsed", lambda t: F.size(t) > 0)
     leaves = parsed.select(*KEYS, F.transform(wordy, leaf).alias("leaves"))
     leaves = explode_computed(leaves, F.array_distinct("leaves"), ["leaf"])
     common = leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     common = broadcast_checked(store.put(common, "leaves"))
 
-    # Masked words and hashes of the words as they are.
-    split = _lines(docs, id_col, text_col).select(*KEYS, F.transform("lines", words).alias("split"))
+    # Masked words and, where there are fields, hashes of the words as they are.
     both = F.transform(
-        "split",
-        lambda w: F.struct(
-            masked(w).alias("tokens"), *[F.xxhash64(F.lit(f"own {x}"), w).alias(f"own_{x}") for x in "ab"]
+        "lines",
+        lambda x: F.struct(
+            parsed_line(x).alias("tokens"),
+            *[F.when(x.rlike(r"[0-9]|<\*>"), F.xxhash64(F.lit(f"own {k}"), words(x))).alias(f"own_{k}") for k in "ab"],
         ),
     )
-    found = posexplode_computed(split, both, ["at", "line"], KEYS).select(*KEYS, "at", "line.*")
+    found = posexplode_computed(_lines(docs, id_col, text_col), both, ["at", "line"], KEYS).select(*KEYS, "at", "line.*")
     found = found.where(F.size("tokens") > 0)
     found = found.withColumn("leaf", leaf(F.col("tokens"))).join(common, "leaf")
     hashes = [F.xxhash64("tokens").alias("line_a"), F.xxhash64(F.lit("line"), "tokens").alias("line_b")]
