@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penmark.functions import connectors as C
 from penmark.functions import tokens as K
@@ -72,6 +74,51 @@ def connector_table(df: DataFrame, phrases: Sequence[str], text: str = "text") -
     return explode_computed(df, counts, ["phrase", "n"], ["doc_id"])
 
 
+def connector_hits(df: DataFrame, phrases: Sequence[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``(doc_id, phrase, n)`` for the phrases that a document holds, for lists of any length.
+
+    The counts are those of ``connector_table`` without its zeros.  An Aho-Corasick automaton of all
+    phrases reads each text once, whatever their number; of overlapping matches of one phrase the first
+    counts.  A null text has no hits; repeated rows each give theirs."""
+    import ahocorasick
+
+    listed = C.clean_phrases(phrases)
+    if not listed:
+        return df.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("phrase"), F.lit(0).alias("n")).limit(0)
+    same: dict[str, list[int]] = {}
+    for i, p in enumerate(listed):
+        same.setdefault(p.lower(), []).append(i)
+    patterns = list(same)
+    shared = df.sparkSession.sparkContext.broadcast((listed, patterns, [same[p] for p in patterns]))
+    rows = df.select(F.col(doc_id).alias("doc_id"), C.strip_symbols(F.col(text)).alias("stripped"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("phrase", T.StringType()), T.StructField("n", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, places = shared.value
+        automaton = ahocorasick.Automaton()
+        for i, p in enumerate(texts):
+            automaton.add_word(p, (i, len(p)))
+        automaton.make_automaton()
+        for batch in batches:
+            row, phrase, count = [], [], []
+            for at, stripped in enumerate(batch.column(1).to_pylist()):
+                n: dict[int, int] = {}
+                free: dict[int, int] = {}
+                for end, (i, size) in automaton.iter(stripped or ""):
+                    if end - size >= free.get(i, -1):
+                        n[i] = n.get(i, 0) + 1
+                        free[i] = end
+                for i, k in n.items():
+                    for j in places[i]:
+                        row.append(at)
+                        phrase.append(names[j])
+                        count.append(k)
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(phrase, pa.string()), pa.array(count, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def selected_importances(importances: DataFrame, selected: DataFrame) -> DataFrame:
     """Importances of the selected features only (one row per feature: tiny on both sides)."""
     return importances.join(selected.select("feature").distinct(), "feature", "left_semi")

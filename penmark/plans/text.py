@@ -167,6 +167,19 @@ def connector_counts(spark, sf_dir):
     return rounded(J.connector_table(documents(spark, sf_dir), CONNECTORS))
 
 
+# A longer list: connectors, function words, and pairs of a function word and a connector.
+PHRASES = list(dict.fromkeys([*CONNECTORS, *FUNCTION_WORDS, *(f"{a} {b}" for a in FUNCTION_WORDS for b in CONNECTORS[:6])]))
+
+
+@query(
+    f"WITH {Q.tokens()}, {Q.phrases(PHRASES)}, s AS (SELECT doc_id, {Q.STRIPPED} AS stripped FROM tok),"
+    " n AS (SELECT doc_id, phrase, ((length(stripped) - length(replace(stripped, phrase, ''))) / length(phrase))::bigint AS n FROM s CROSS JOIN phrase)"
+    " SELECT * FROM n WHERE n > 0"
+)
+def connector_hits(spark, sf_dir):
+    return rounded(J.connector_hits(documents(spark, sf_dir), PHRASES))
+
+
 _CONNECTOR_SUMS = f"""
 WITH {Q.tokens()}, {Q.phrases(CONNECTORS)},
 hits AS (

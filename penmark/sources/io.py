@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.util import DefaultParamsReader
@@ -70,7 +71,9 @@ def read_predictions(
     wanted = None
     if models is not None:
         wanted = F.broadcast(spark.createDataFrame(list(models), "variant string, classifier string"))
-        raw = raw.join(wanted, ["variant", "classifier"], "left_semi")
+        # Literals, so that the scan lists and opens these folders alone.
+        named = [(F.col("variant") == v) & (F.col("classifier") == c) for v, c in models]
+        raw = raw.where(reduce(Column.__or__, named, F.lit(False)))
     per_config = raw.groupBy("variant", "classifier").agg(
         F.count_if(F.col(CORRUPT).isNotNull()).alias("bad_json"),
         F.count_if(F.col(CORRUPT).isNull() & (F.col("label").isNull() | F.col("prediction_probability").isNull())).alias(
