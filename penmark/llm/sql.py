@@ -40,7 +40,7 @@ SELECT doc_id, len(lines)::bigint AS n_lines, n_dropped::bigint AS n_dropped, sh
 
 def quality_rules_sql() -> str:
     grid = ", ".join(f"({q(rule)}, {c}::double)" for rule, cs in R.RULES.items() for c in cs)
-    risk = R.RISK / len(R.RULES)
+    risk = R.RISK
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, {_WORD}) AS w,
@@ -62,19 +62,23 @@ s AS (
     coalesce(uppers::double / nullif(word_chars, 0), 0) AS upper_share, coalesce(n_dup_lines::double / nullif(n_lines, 0), 0) AS dup_line_share,
     coalesce(same::double / nullif(n_words, 0), 0) AS sameness FROM b),
 v AS (SELECT rid, doc_id, stratum, base_failed, unnest([{", ".join(q(r) for r in R.RULES)}]) AS rule, unnest([{", ".join(R.RULES)}]) AS x FROM s),
-lb AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-j AS (SELECT v.stratum, v.rule, v.x, lb.good FROM v JOIN lb USING (doc_id) WHERE NOT base_failed),
+lb AS (SELECT doc_id, max((quality = 1)::int) AS good, substr(md5('{R.HALF_KEY}' || doc_id::varchar), 1, 1) < '8' AS choosing FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+j AS (SELECT rid, v.stratum, v.rule, v.x, good, choosing FROM v JOIN lb USING (doc_id) WHERE NOT base_failed),
 g AS (SELECT * FROM (VALUES {grid}) g(rule, cutoff)),
 t AS (
-  SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good = 1) AS n, count(*) FILTER (WHERE good = 1 AND x > cutoff) AS k,
-    count(*) FILTER (WHERE good = 0 AND x > cutoff) AS bad FROM j JOIN g USING (rule) GROUP BY ALL),
+  SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good = 0 AND x > cutoff) - {R.PRICE}::double * count(*) FILTER (WHERE good = 1 AND x > cutoff) AS gain
+  FROM j JOIN g USING (rule) WHERE choosing GROUP BY ALL),
+be AS (SELECT stratum, rule, max(gain) AS gain, max(cutoff) FILTER (WHERE gain = top) AS cutoff
+  FROM (SELECT *, max(gain) OVER (PARTITION BY stratum, rule) AS top FROM t) WHERE gain > 0 GROUP BY ALL),
+sp AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS m FROM be),
+fi AS (SELECT rid, stratum, any_value(good) AS good, min(m) FILTER (WHERE x > cutoff) AS first FROM j JOIN sp USING (stratum, rule) WHERE NOT choosing GROUP BY ALL),
+pk AS (SELECT stratum, rule, cutoff, (SELECT sum(good) FROM fi WHERE fi.stratum = sp.stratum) AS n,
+  (SELECT coalesce(sum(good) FILTER (WHERE first <= sp.m), 0) FROM fi WHERE fi.stratum = sp.stratum) AS k FROM sp),
 pv AS (
-  SELECT *, CASE WHEN k < n * {risk}::double THEN list_sum(list_transform(range(0, k + 1),
-    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}::double) + (n - i) * ln(1 - {risk}::double)))) ELSE 1 END AS p FROM t),
-ok AS (
-  SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {R.PRICE}::double * k DESC, cutoff DESC) AS best
-  FROM pv WHERE p <= {R.DELTA}::double / greatest(1, (SELECT count(DISTINCT stratum) FROM j) * {len(R.RULES)}) AND bad - {R.PRICE}::double * k > 0),
-rj AS (SELECT DISTINCT rid FROM v JOIN ok USING (stratum, rule) WHERE best = 1 AND x > cutoff)
+  SELECT *, CASE WHEN k < n * {risk}::double THEN list_sum(list_transform(range(0, k::bigint + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}::double) + (n - i) * ln(1 - {risk}::double)))) ELSE 1 END AS p FROM pk),
+ok AS (SELECT stratum, rule, cutoff FROM pv WHERE p <= {R.DELTA}::double / greatest(1, (SELECT count(DISTINCT stratum) FROM sp))),
+rj AS (SELECT DISTINCT rid FROM v JOIN ok USING (stratum, rule) WHERE x > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND rid NOT IN (SELECT rid FROM rj) AS kept FROM s"""
 

@@ -1,10 +1,14 @@
+import hashlib
 import math
 import random
 from collections import Counter
+from fractions import Fraction
 
+import duckdb
 from llm.helpers import ODD, WORD, docs_frame, sentence, words
 from penmark.llm import quality_rules as op
 from penmark.llm.common import Store
+from penmark.llm.sql import quality_rules_sql
 from pyspark.sql import functions as F
 
 
@@ -23,7 +27,7 @@ def plain_counts(text):
 
 
 def tail(k, n, p):
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    return float(sum(math.comb(n, i) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
 
 
 def corpus(n=900):
@@ -51,38 +55,76 @@ def test_counts_equal_plain_version(spark):
 
 
 def test_binomial_tail(spark):
-    cases = [(0, 100), (1, 300), (3, 900), (20, 3000), (5, 100), (0, 0)]
+    cases = [(0, 100), (1, 300), (3, 900), (20, 3000), (29, 3000), (70, 8000), (5, 100), (0, 0)]
     df = spark.createDataFrame(cases, "k bigint, n bigint")
     for r in df.withColumn("p", op.binomial_tail(F.col("k"), F.col("n"), 0.01)).collect():
         want = tail(r["k"], r["n"], 0.01) if r["k"] < 0.01 * r["n"] else 1.0
         assert math.isclose(r["p"], want, rel_tol=1e-9)
 
 
+def choosing(i):
+    return hashlib.md5(f"{op.HALF_KEY}{i}".encode()).hexdigest()[0] < "8"
+
+
 def test_certified_cutoffs_reject_bad_and_bound_good(spark):
     rows, labels = corpus()
     got = op.quality_verdicts(docs_frame(spark, rows), labels_frame(spark, labels)).select("doc_id", "kept").collect()
-    kept = {r["doc_id"]: r["kept"] for r in got}
-    # 450 good "en" documents: P(0 of 450 rejected) at 1 % is 0.011, above 0.1 / (2 strata x 5 rules).
-    assert all(kept[i] for i, q in labels if q)
-    assert all(kept.values()), "too few labels certify nothing"
+    assert {r["doc_id"]: int(r["kept"]) for r in got} == dict(labels)
     stored = Store(spark, "rules").put(op.features(docs_frame(spark, rows)), "features")
-    wide = op.cutoffs(stored, labels_frame(spark, labels), risk=0.25)
-    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in wide.collect()}
-    assert found["=en", "bang_share"] == max(op.RULES["bang_share"]) and ("", "bang_share") in found
-    judged = op.judge(stored, wide).select("doc_id", "kept").collect()
-    assert {r["doc_id"]: int(r["kept"]) for r in judged} == dict(labels)
+    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in op.cutoffs(stored, labels_frame(spark, labels)).collect()}
+    assert found == {("=en", "bang_share"): 1.5, ("", "bang_share"): 1.5}
+
+
+def test_few_labels_certify_nothing(spark):
+    rows, labels = corpus(150)
+    got = op.quality_verdicts(docs_frame(spark, rows), labels_frame(spark, labels)).select("kept").collect()
+    assert all(r["kept"] for r in got)
 
 
 def test_cutoff_needs_the_exact_bound(spark):
-    """The tests allow a cutoff exactly where the binomial tail does."""
-    n, risk, delta = 700, 0.05, 0.1
-    for bad_good in (0, 1):
-        rows = [(i, sentence(random.Random(i), 25) + (" ! ! ! ! ! ! ! ! !" if i < bad_good or i >= n else "")) for i in range(n + 60)]
-        labels = [(i, int(i < n)) for i in range(n + 60)]
+    """The held-out good documents allow a cutoff exactly where the binomial tail does."""
+    held = [i for i in range(400) if not choosing(i)]
+    n, delta = len(held), 0.1
+    allowed = max(k for k in range(n) if tail(k, n, op.RISK) <= delta)
+    for k in (allowed, allowed + 1):
+        loud = {*held[:k], *range(400, 460)}
+        rows = [(i, sentence(random.Random(i), 25) + (" ! ! ! ! ! ! ! ! !" if i in loud else "")) for i in range(460)]
+        labels = [(i, int(i < 400)) for i in range(460)]
         stored = Store(spark, "rules").put(op.features(docs_frame(spark, rows)), "features")
-        found = op.cutoffs(stored, labels_frame(spark, labels), risk, delta).collect()
-        certified = tail(bad_good, n, risk / 5) <= delta / 5
-        assert bool(found) == certified
+        found = op.cutoffs(stored, labels_frame(spark, labels), op.RISK, delta).collect()
+        assert {r["rule"] for r in found} >= {"bang_share"} if k == allowed else not found
+
+
+def test_joint_rejection_stops_the_sequence(spark):
+    """Each rule alone stays within the risk, both together do not: only the more gainful one is certified."""
+    held = [i for i in range(400) if not choosing(i)]
+    n = len(held)
+    k = max(k for k in range(n) if tail(k, n, op.RISK) <= 0.1)
+    loud, marked = {*held[:k], *range(400, 480)}, {*held[k : 2 * k], *range(480, 540)}
+    body = lambda i: "".join(f"w{i}x{j} " for j in range(25))
+    rows = [(i, body(i) + "!" * 30 * (i in loud) + "#" * 60 * (i in marked)) for i in range(540)]
+    labels = [(i, int(i < 400)) for i in range(540)]
+    stored = Store(spark, "rules").put(op.features(docs_frame(spark, rows)), "features")
+    assert [r["rule"] for r in op.cutoffs(stored, labels_frame(spark, labels)).collect()] == ["bang_share"]
+
+
+def test_labels_beyond_one_are_bad(spark):
+    rows, labels = corpus()
+    odd = [(i, q if q else 2) for i, q in labels]
+    got = op.quality_verdicts(docs_frame(spark, rows), labels_frame(spark, odd)).select("doc_id", "kept").collect()
+    assert {r["doc_id"]: int(r["kept"]) for r in got} == dict(labels)
+
+
+def test_equals_sql_with_certified_cutoffs(spark):
+    """The check SQL on a table whose strata are certified."""
+    rows, labels = corpus()
+    con = duckdb.connect()
+    docs, marks = docs_frame(spark, rows), labels_frame(spark, labels)
+    for name, frame in (("documents", docs), ("labels", marks)):
+        con.register(name, frame.toPandas().convert_dtypes())
+    want = {tuple(r) for r in con.sql(f"SELECT doc_id, kept FROM ({quality_rules_sql()})").fetchall()}
+    got = {tuple(r) for r in op.quality_verdicts(docs, marks).select("doc_id", "kept").collect()}
+    assert got == want and len({k for _, k in got}) == 2
 
 
 def test_odd_tables(spark):
