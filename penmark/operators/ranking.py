@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from penmark.physical import localize
+from penmark.session import materialize
 
 CELLS = 1 << 20  # cells per unit of value in the signed-rank sums
-SPLITS = 256  # cells of a part in the two-level rank
 
 
 def value_cell(value: Column) -> Column:
@@ -19,43 +18,50 @@ def value_cell(value: Column) -> Column:
     return F.floor(value * F.lit(float(CELLS))).cast("bigint")
 
 
-def average_rank(df: DataFrame, part: str, col: str) -> DataFrame:
+def average_rank(df: DataFrame, part: str, col: str, partitions: int | None = None) -> DataFrame:
     """Average rank (ties share the mean of their places) per distinct value:
     ``(part, value, ties, rank)``.
 
     Equal values are counted before the shuffle, so a value shared by a third of all rows is one
-    row per task.  Ranks come from two small running sums, over the cells of a part and over the
-    values of a cell, so a part with most of the rows is still ranked by many tasks.  Cells lie
-    between approximate quantiles of the part's own values, whatever their range or distribution.
+    row per task.  The distinct values are then range-partitioned by part and value and stored; a
+    rank is the running count inside its range plus the counts of the ranges before it.  Ranges
+    are of about equal size whatever the parts, the number of values or their distribution, so a
+    task shrinks as ``partitions`` (default: the session's shuffle partitions) grows.
     A null part is a part of its own; null and NaN values rank last."""
     counts = df.groupBy(part, F.round(F.col(col), 12).alias("value")).agg(F.count(F.lit(1)).alias("ties"))
-    shares = [i / SPLITS for i in range(1, SPLITS)]
-    splits = counts.groupBy(F.col(part).alias("_part")).agg(F.percentile_approx("value", shares, 10 * SPLITS).alias("_splits"))
-    counts = counts.join(localize(splits, 4_000), F.col(part).eqNullSafe(F.col("_part")))
-    above = F.size(F.filter(F.coalesce("_splits", F.array()), lambda x: F.col("value") > x))
-    cell = F.when(F.col("value").isNull(), SPLITS + 1).otherwise(above)
-    counts = counts.select(part, "value", "ties", cell.alias("cell"))
     by_value = F.asc_nulls_last("value")
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    before = (Window.unboundedPreceding, -1)
-    cells = counts.groupBy(part, "cell").agg(F.sum("ties").alias("in_cell"))
-    offsets = cells.select(
-        F.col(part).alias("_part"),
-        F.col("cell").alias("_cell"),
-        F.coalesce(F.sum("in_cell").over(Window.partitionBy(part).orderBy("cell").rowsBetween(*before)), F.lit(0)).alias("offset"),
+    many = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(
+        counts.repartitionByRange(many, F.asc_nulls_first(part), by_value).withColumn("_range", F.spark_partition_id())
     )
-    local = F.sum("ties").over(Window.partitionBy(part, "cell").orderBy(by_value).rowsBetween(*upto))
-    same = F.col(part).eqNullSafe(F.col("_part")) & (F.col("cell") == F.col("_cell"))
-    return (
-        counts.withColumn("cum", local)
-        .join(offsets, same)
-        .select(
-            part,
-            "value",
-            "ties",
-            (F.col("offset") + F.col("cum") - (F.col("ties") - 1) / F.lit(2).cast("double")).alias("rank"),
-        )
+    sizes = ranged.groupBy(part, "_range").agg(F.sum("ties").alias("_size"))
+    before = Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        F.col(part).alias("_part"), F.col("_range").alias("_at"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+    )
+    upto = Window.partitionBy(part, "_range").orderBy(by_value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("_upto", F.sum("ties").over(upto)).join(
+        offsets, F.col(part).eqNullSafe(F.col("_part")) & (F.col("_range") == F.col("_at"))
     )
+    rank = F.col("_offset") + F.col("_upto") - (F.col("ties") - 1) / F.lit(2).cast("double")
+    return placed.select(part, "value", "ties", rank.alias("rank"))
+
+
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Adds the place of each row, from 0, in the order of a sorted table.
+
+    The sorted partitions are stored; a place is the row's number in its partition plus the rows
+    of the partitions before it, so no task sees more than its partition."""
+    numbered = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    # The upper bits of the id number the partition, the lower 33 the row.
+    sizes = numbered.groupBy(F.shiftright("_id", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        numbered.join(F.broadcast(offsets), F.shiftright("_id", 33) == F.col("_part"))
+        .select(*[f"`{c}`" for c in ordered.columns], place.alias(name))
+    )
 
 
 def top_k(df: DataFrame, by: str, k: int, ties: Sequence[str] = ("Variant", "Classifier")) -> DataFrame:

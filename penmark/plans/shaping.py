@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penmark.functions import lexical as L
@@ -68,18 +71,24 @@ def config_slug(spark, sf_dir):
 
 
 @query(
-    f"WITH {SCORED_SQL} SELECT variant AS \"Variant\", classifier AS \"Classifier\", round(avg(prediction_probability), 6) AS \"F1\","
-    " count(*)::bigint AS \"n\" FROM scored GROUP BY ALL"
+    f"WITH {SCORED_SQL}, r AS (SELECT variant, classifier, avg(prediction_probability) AS f1, count(*)::bigint AS n FROM scored GROUP BY ALL)"
+    " SELECT half, variant AS \"Variant\", classifier AS \"Classifier\", round(f1, 6) AS \"F1\", n, n AS support"
+    " FROM r CROSS JOIN (VALUES ('csv'), ('jsonl')) h(half)"
 )
 def results_round_trip(spark, sf_dir):
-    """The CSV half of the result sink, read back."""
+    """Both halves of the result sink, read back; the nested report is JSON text in the CSV."""
     path = scratch(spark, "results")
     per_model = model_scores(spark, sf_dir).groupBy("variant", "classifier").agg(
         F.avg("prediction_probability").alias("F1"), F.count(F.lit(1)).alias("n")
     )
-    table_ = per_model.select(c("variant").alias("Variant"), c("classifier").alias("Classifier"), "F1", "n")
+    report = F.struct(c("n").alias("support")).alias("report")
+    table_ = per_model.select(c("variant").alias("Variant"), c("classifier").alias("Classifier"), "F1", "n", report)
     io.write_results(table_, path)
-    return rounded(io.read_csv(spark, f"{path}/csv", table_.schema))
+    lines = io.read_jsonl(spark, f"{path}/jsonl", table_.schema)
+    flat = io.read_csv(spark, f"{path}/csv", "Variant string, Classifier string, F1 double, n bigint, report string")
+    flat = flat.withColumn("report", F.from_json("report", table_.schema["report"].dataType))
+    both = lines.withColumn("half", F.lit("jsonl")).unionByName(flat.withColumn("half", F.lit("csv")))
+    return rounded(both.withColumn("support", c("report.support")).drop("report"))
 
 
 _TAGS = ", ".join(f"({Q.q(w)}, '{t}')" for t, ws in CLOSED_CLASS.items() for w in ws)
@@ -140,14 +149,28 @@ def unpack_struct(spark, sf_dir):
 
 
 @query(
-    "SELECT vec_id, generate_subscripts(embedding, 1)::bigint - 1 AS pos, round(unnest(embedding)::double, 5) AS value FROM embeddings"
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings),"
+    " f AS (SELECT vec_id, form, CASE WHEN form IN ('number', 'number text') THEN v[1:1] ELSE v END AS v"
+    " FROM e CROSS JOIN (VALUES ('array'), ('tuple'), ('list'), ('number'), ('number text')) x(form))"
+    " SELECT vec_id, form, generate_subscripts(v, 1)::bigint - 1 AS pos, round(unnest(v), 5) AS value FROM f"
 )
 def parse_vectors(spark, sf_dir):
-    """Vectors written as tuple text, parsed back."""
+    """Every form of a vector cell: arrays, tuple and list text, numbers, number text."""
     emb = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    text = F.concat(F.lit("("), F.array_join(c("embedding").cast("array<string>"), ", "), F.lit(")"))
-    parsed = R.parse_vector_column(emb.select("vec_id", text.alias("v")), "v")
-    return rounded(parsed.select("vec_id", F.posexplode("v").alias("pos", "value")), 5)
+    listed = F.array_join(c("embedding").cast("array<string>"), ", ")
+    first = F.get("embedding", F.lit(0))
+    forms = {
+        "array": c("embedding"),
+        "tuple": F.concat(F.lit("("), listed, F.when(F.size("embedding") == 1, F.lit(",")).otherwise(F.lit("")), F.lit(")")),
+        "list": F.concat(F.lit("["), listed, F.lit("]")),
+        "number": first,
+        "number text": first.cast("string"),
+    }
+    parsed = [
+        R.parse_vector_column(emb.select("vec_id", cell.alias("v")), "v").select("vec_id", F.lit(form).alias("form"), F.posexplode("v").alias("pos", "value"))
+        for form, cell in forms.items()
+    ]
+    return rounded(reduce(DataFrame.unionByName, parsed), 5)
 
 
 @query(

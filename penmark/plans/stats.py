@@ -21,10 +21,12 @@ from penmark.operators import sampling as P
 from penmark.operators import significance as Z
 from penmark.operators.ablation import VARIANTS, ablation_summary, f1_by_variant, order_results
 from penmark.operators.classify import CLASSIFIERS
+from penmark.operators.quantiles import quantiles
 from penmark.physical import inline_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, labelled, rounded, table
+from penmark.session import materialize
 from penmark.sources.io import config_slug
 
 query = Registry()
@@ -140,6 +142,22 @@ def percentile_of_coefficients(spark, sf_dir):
     return rounded(A.percentile(coefs, "coef", 0.25))
 
 
+_SHARES = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+
+
+@query(
+    f"WITH {Q.tokens()}, x AS (SELECT 'n_chars' AS feature, n_chars::double AS v FROM documents UNION ALL SELECT 'n_tokens', len(marks)::double FROM tok),"
+    f" q AS (SELECT feature, unnest({_SHARES}::double[]) AS share, unnest(quantile_cont(v, {_SHARES})) AS value FROM x GROUP BY feature)"
+    " SELECT feature, share, round(value, 6) AS value FROM q"
+)
+def quantiles_of_lengths(spark, sf_dir):
+    """Exact quantiles over all documents, found by counting alone."""
+    counted = materialize(documents(spark, sf_dir).select(F.size(K.marks(F.col("text"))).alias("n_tokens")))
+    chars = quantiles(table(spark, sf_dir, "documents"), "n_chars", _SHARES)
+    tokens = quantiles(counted, "n_tokens", _SHARES)
+    return rounded(chars.withColumn("feature", F.lit("n_chars")).unionByName(tokens.withColumn("feature", F.lit("n_tokens"))))
+
+
 # Samples and splits
 
 _U = "('0x' || left(md5(doc_id::varchar || ':42'), 8))::bigint"
@@ -171,9 +189,13 @@ def stratified_split(spark, sf_dir):
     return rounded(both)
 
 
-@query("SELECT doc_id, lang, md5(doc_id::varchar || ':42') AS shuffle_key FROM documents")
+@query(
+    "SELECT doc_id, lang, shuffle_key, row_number() OVER (ORDER BY shuffle_key) - 1 AS position"
+    " FROM (SELECT *, md5(doc_id::varchar || ':42') AS shuffle_key FROM documents)"
+)
 def seeded_shuffle(spark, sf_dir):
-    return P.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    """The shuffled rows with the places they got."""
+    return W.with_position(P.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang")))
 
 
 # Metrics
@@ -276,15 +298,19 @@ _ORDER = ", ".join(f"({Q.q(v)}, {i})" for i, v in enumerate(VARIANTS))
 
 @query(
     f"WITH {_RESULT_SQL}, o AS (SELECT * FROM (VALUES {_ORDER}) v(\"Variant\", pos)),"
-    " s AS (SELECT res.* FROM res JOIN o USING (\"Variant\") ORDER BY pos, \"Classifier\") SELECT * FROM s"
+    " s AS (SELECT res.*, row_number() OVER (ORDER BY pos, \"Classifier\") - 1 AS position FROM res JOIN o USING (\"Variant\")) SELECT * FROM s"
 )
 def summary_in_report_order(spark, sf_dir):
-    return rounded(ablation_summary(results_table(spark, sf_dir)))
+    """The comparison table with the line of each row."""
+    return rounded(W.with_position(ablation_summary(results_table(spark, sf_dir))))
 
 
-@query(f"WITH {_RESULT_SQL} SELECT * FROM res")
+@query(
+    f"WITH {_RESULT_SQL}, o AS (SELECT * FROM (VALUES {_ORDER}) v(\"Variant\", pos))"
+    " SELECT res.*, row_number() OVER (ORDER BY coalesce(pos, 1000), \"Classifier\") - 1 AS position FROM res LEFT JOIN o USING (\"Variant\")"
+)
 def ordered_results(spark, sf_dir):
-    return rounded(order_results(results_table(spark, sf_dir)))
+    return rounded(W.with_position(order_results(results_table(spark, sf_dir))))
 
 
 @query(

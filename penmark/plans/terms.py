@@ -9,11 +9,13 @@ from penmark.functions.lexicon import FUNCTION_WORDS
 from penmark.operators import style as Y
 from penmark.operators import zeroshot as ZS
 from penmark.operators.ngram_lm import fit_ngram_lm, perplexity
+from penmark.operators.sampling import with_split
 from penmark.operators.tfidf import fit_tfidf
 from penmark.physical import posexplode_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
 from penmark.plans.tables import documents, rounded, table
+from penmark.session import materialize
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -88,9 +90,9 @@ def tfidf_transform(spark, sf_dir):
 K_UNI, LAM = 0.5, 0.7
 
 
-def _lm_sql(scored: str = "SELECT doc_id, text FROM documents") -> str:
+def _lm_sql(scored: str = "SELECT doc_id, text FROM documents", counted: str = "SELECT doc_id, text FROM documents") -> str:
     return f"""
-lt AS (SELECT doc_id, regexp_extract_all(lower(text), {Q.q(K.MARKS_RE)}) AS t FROM documents),
+lt AS (SELECT doc_id, regexp_extract_all(lower(text), {Q.q(K.MARKS_RE)}) AS t FROM ({counted})),
 lp AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM lt),
 uni AS (SELECT w, count(*) AS c FROM lp GROUP BY w),
 voc AS (SELECT w, c FROM uni),
@@ -149,27 +151,41 @@ def zero_shot_score(spark, sf_dir):
 
 
 _VERDICT_SQL = (
-    _lm_sql()
+    """
+sr AS (
+  SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY ('0x' || left(md5(doc_id::varchar || ':42'), 8))::bigint, doc_id) AS rn,
+    count(*) OVER (PARTITION BY quality) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL),
+la AS (SELECT doc_id, quality AS label, rn <= round_even(0.2::double * n, 0) AS held FROM sr),"""
+    + _lm_sql("SELECT doc_id, text FROM documents JOIN la USING (doc_id)", "SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM la WHERE held)")
     + _H_SQL
     + """,
-lz AS (SELECT doc_id, round(score, 9) AS score, quality AS label FROM zs JOIN labels USING (doc_id) WHERE score IS NOT NULL),
-rg AS (SELECT min(score) AS lo, (max(score) - min(score)) / 1000 AS w FROM lz),
-bn AS (SELECT least(floor((score - lo) / w), 999)::int AS b, label FROM lz CROSS JOIN rg),
+lz AS (SELECT doc_id, round(score, 9) AS score, label, held FROM la LEFT JOIN zs USING (doc_id)),
+tr AS (SELECT * FROM lz WHERE NOT held AND score IS NOT NULL),
+rg AS (SELECT min(score) AS lo, (max(score) - min(score)) / 1000 AS w FROM tr),
+bn AS (SELECT least(floor((score - lo) / w), 999)::int AS b, label FROM tr CROSS JOIN rg),
 ed AS (SELECT DISTINCT lo + (b + 1) * w AS t, b FROM bn CROSS JOIN rg),
 ac AS (SELECT t, count(*) FILTER (WHERE (label = 1) = (bn.b <= ed.b))::double / count(*) AS a FROM ed CROSS JOIN bn GROUP BY t),
 th AS (SELECT t, a FROM ac ORDER BY a DESC, t LIMIT 1),
 ve AS (
-  SELECT doc_id, label, score, CASE WHEN score < t THEN 'Most likely AI-generated' ELSE 'Most likely human-generated' END AS prediction
-  FROM lz CROSS JOIN th)"""
+  SELECT doc_id, label, score,
+    CASE WHEN score < t THEN 'Most likely AI-generated' WHEN score >= t THEN 'Most likely human-generated' END AS prediction
+  FROM lz CROSS JOIN th WHERE held)"""
 )
 
 
 def _verdicts(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").select("doc_id", c("quality").cast("int").alias("label"))
+    """Verdicts of the test documents: the model is counted on all other documents, and the threshold
+    chosen on the labelled ones among them."""
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", c("quality").cast("int").alias("label"))
+    docs = documents(spark, sf_dir)
+    split = materialize(with_split(labels.join(docs.select("doc_id"), "doc_id")))
+    held = split.where(c("split") == "test").select("doc_id")
+    lm = fit_ngram_lm(docs.join(held, "doc_id", "left_anti"), k=K_UNI, lam=LAM)
+    scores = ZS.zero_shot_score(docs.join(split.select("doc_id"), "doc_id"), lm)
     # Scores meet the threshold rounded, so that both engines put a score on the same side.
-    scored = _scores(spark, sf_dir).select("doc_id", F.round("score", 9).alias("score")).join(labels, "doc_id")
-    threshold = ZS.choose_threshold(scored).first()["threshold"]
-    return ZS.zero_shot_predict(scored, threshold)
+    scored = materialize(scores.select("doc_id", F.round("score", 9).alias("score")).join(split, "doc_id"))
+    threshold = ZS.choose_threshold(scored.where(c("split") == "train")).first()["threshold"]
+    return ZS.zero_shot_predict(scored.where(c("split") == "test"), threshold)
 
 
 @query(f"WITH {_VERDICT_SQL} SELECT doc_id, label::bigint AS label, prediction FROM ve")
@@ -188,7 +204,7 @@ def zero_shot_confusion(spark, sf_dir):
 
 @query(
     f"""WITH {_VERDICT_SQL},
-co AS (SELECT label, (prediction LIKE '%AI%')::int AS pred FROM ve),
+co AS (SELECT label, (prediction LIKE '%AI%')::int AS pred FROM ve WHERE prediction IS NOT NULL),
 pc AS (
   SELECT cls, count(*) FILTER (WHERE label = cls AND pred = cls)::double AS tp, count(*) FILTER (WHERE pred = cls)::double AS claimed,
     count(*) FILTER (WHERE label = cls)::double AS support FROM co CROSS JOIN (VALUES (0), (1)) k(cls) GROUP BY cls),

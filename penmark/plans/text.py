@@ -14,6 +14,7 @@ from penmark.functions import tagging as G
 from penmark.functions import tokens as K
 from penmark.functions.arrays import array_mean, ngrams
 from penmark.functions.lexicon import CONNECTORS, FUNCTION_WORDS
+from penmark.functions.tagging import TAGS
 from penmark.operators import features as FT
 from penmark.operators import joins as J
 from penmark.operators import reshape as R
@@ -383,14 +384,12 @@ def linguistic_features(spark, sf_dir):
     _SHARE_SQL.format(ann=Q.annotations(), label="pos", keep="true", prefix="prop_").replace(
         "SELECT doc_id, 'prop_'", ", long AS (SELECT doc_id, 'prop_'"
     )
-    + """)
-SELECT doc_id, max(value) FILTER (WHERE feature = 'prop_NOUN') AS "prop_NOUN", max(value) FILTER (WHERE feature = 'prop_DET') AS "prop_DET",
-  max(value) FILTER (WHERE feature = 'prop_PUNCT') AS "prop_PUNCT" FROM long GROUP BY doc_id"""
+    + f""")
+SELECT doc_id, {", ".join(f"max(value) FILTER (WHERE feature = 'prop_{t}') AS prop_{t}" for t in TAGS)} FROM long GROUP BY doc_id"""
 )
 def widen_pos_shares(spark, sf_dir):
-    """Long to wide with a given key list; a tag that a document lacks stays null."""
-    long_df = pos_shares(spark, sf_dir)
-    return R.widen(long_df, ["prop_NOUN", "prop_DET", "prop_PUNCT"])
+    """Long to wide over all tags; a tag that a document lacks stays null."""
+    return R.widen(pos_shares(spark, sf_dir), [f"prop_{t}" for t in TAGS])
 
 
 # Flagship: vocabulary richness, readability and entropy by label.

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from penmark.operators import ranking as W
 from penmark.operators import sampling as P
 from penmark.operators import significance as Z
 from penmark.operators.joins import pair_predictions
+from penmark.operators.quantiles import quantiles
 from penmark.physical import at_least_top, collect_top, fits
 
 
@@ -92,6 +94,45 @@ def test_average_rank_of_any_range(spark):
     assert [r["rank"] for r in rows if r["value"] is None] == [len(values) + 1.0]
 
 
+def test_rank_tasks_shrink_with_partitions(spark):
+    """One part holds nearly all rows, one value a third of them."""
+    rows = [("hot", float(v)) for v in range(4000)] + [("hot", 17.0)] * 2000 + [("cold", 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "part string, v double")
+    want = pd.Series([v for p, v in rows if p == "hot"]).rank().groupby([v for p, v in rows if p == "hot"]).first().to_dict()
+    for many in (2, 16):
+        ranked = W.average_rank(df, "part", "v", partitions=many)
+        assert {r["value"]: r["rank"] for r in ranked.where("part = 'hot'").collect()} == want
+        counts = df.groupBy("part", "v").count().repartitionByRange(many, "part", F.asc_nulls_last("v"))
+        largest = counts.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 2 * 4002 / many
+
+
+def test_positions_follow_the_sort(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("id", "(id * 7919) % 1009 AS k").orderBy("k")
+    got = W.with_position(df).collect()
+    assert [r["position"] for r in sorted(got, key=lambda r: r["k"])] == list(range(1000))
+    assert W.with_position(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("small", [1, 50, 10_000])
+def test_quantiles_are_exact(spark, small):
+    """Ties, a value on a third of the rows, huge and tiny values, null and NaN."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), [1e300, -1e300, 5e-324], rng.integers(0, 5, 500)])
+    rows = [(float(v),) for v in values] + [(None,), (float("nan"),)]
+    shares = [0.0, 0.001, 0.3, 0.5, 0.77, 0.999, 1.0]
+    got = {r["share"]: r["value"] for r in quantiles(spark.createDataFrame(rows, "v double"), "v", shares, small=small).collect()}
+    for q in shares:
+        assert got[q] == pytest.approx(np.quantile(values, q), rel=1e-12)
+
+
+def test_quantiles_of_nothing_and_of_one_value(spark):
+    none = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert [r["value"] for r in quantiles(none, "v", [0.0, 0.5]).collect()] == [None, None]
+    same = spark.range(30_000).selectExpr("5 AS v")
+    assert [r["value"] for r in quantiles(same, "v", [0.0, 0.5, 1.0]).collect()] == [5.0, 5.0, 5.0]
+
+
 def test_top_rows_leave_their_tasks(spark):
     df = spark.range(0, 20_000, 1, 50).selectExpr("id AS term", "cast(1e6 / (id + 1) AS bigint) AS c")
     kept = at_least_top(df, "c", 100).count()
