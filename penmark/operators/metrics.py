@@ -6,11 +6,15 @@ The matrix is one partial aggregate over the predictions; everything after it wo
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from penmark.session import materialize
+
 BINARY = (0, 1)
 
 
@@ -56,34 +60,40 @@ def confusion_matrix(
 
 class Watch:
     """Rows, confusion cells and probability range of binary predictions, counted by the pass that
-    writes them.
+    stores them.
 
-    ``on`` marks the table; after that table was written (or checkpointed) once, ``cells`` and the
-    rest can be read without another job.  ``groups`` names several pairs of columns, one per model."""
+    ``store`` writes a table and returns it; ``cells`` and the rest then need no further job.
+    ``groups`` names ``(label, predicted, probability)`` columns, one triple per model.  The metrics
+    are read from the executed query: an ``Observation`` object would leave a manager in the session
+    which keeps Spark's own models with a training summary from being sent to tasks."""
 
     def __init__(self, groups: Sequence[tuple[Column | str, Column | str, Column | str]]):
         self.groups = [tuple(F.col(x) if isinstance(x, str) else x for x in g) for g in groups]
-        self.seen = Observation()
+        self.seen: dict[str, float] = {}
 
-    def on(self, df: DataFrame) -> DataFrame:
+    def store(self, df: DataFrame) -> DataFrame:
         counts = [F.count(F.lit(1)).alias("rows")]
         for i, (label, predicted, p) in enumerate(self.groups):
             counts += [F.count_if((label == a) & (predicted == b)).alias(f"n{i}_{a}{b}") for a in BINARY for b in BINARY]
             counts += [F.min(p).alias(f"low{i}"), F.max(p).alias(f"high{i}")]
-        return df.observe(self.seen, *counts)
+        name = f"watch-{uuid.uuid4().hex}"
+        watched = df.observe(name, *counts)
+        stored = materialize(watched)
+        self.seen = json.loads(watched._jdf.queryExecution().observedMetrics().apply(name).json())
+        return stored
 
     @property
     def rows(self) -> int:
-        return self.seen.get["rows"]
+        return self.seen["rows"]
 
     def cells(self, group: int = 0) -> list[tuple[int, int, int]] | None:
         """``(label, predicted_label, n)``; None where a row is outside the two classes or null, which the
         full ``confusion_matrix`` then counts or reports."""
-        got = [(a, b, self.seen.get[f"n{group}_{a}{b}"]) for a in BINARY for b in BINARY]
+        got = [(a, b, self.seen[f"n{group}_{a}{b}"]) for a in BINARY for b in BINARY]
         return got if sum(n for _, _, n in got) == self.rows else None
 
     def probability_range(self, group: int = 0) -> tuple[float | None, float | None]:
-        return self.seen.get[f"low{group}"], self.seen.get[f"high{group}"]
+        return self.seen.get(f"low{group}"), self.seen.get(f"high{group}")
 
 
 def _safe(num: Column, den: Column) -> Column:

@@ -4,14 +4,13 @@ import pytest
 
 from penmark.operators import classify as CL
 from penmark.operators.metrics import Watch, confusion_matrix
-from penmark.session import materialize
 
 SCHEMA = "label int, predicted_label int, prediction_probability double"
 
 
 def watched(spark, rows):
     watch = Watch([("label", "predicted_label", "prediction_probability")])
-    preds = materialize(watch.on(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    preds = watch.store(spark.createDataFrame(rows, SCHEMA).repartition(3))
     return watch, preds
 
 
