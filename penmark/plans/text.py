@@ -18,6 +18,7 @@ from penmark.functions.tagging import TAGS
 from penmark.operators import features as FT
 from penmark.operators import joins as J
 from penmark.operators import reshape as R
+from penmark.operators.hmm_tagger import fit_hmm_tagger
 from penmark.physical import explode_computed, posexplode_computed
 from penmark.plans import sql as Q
 from penmark.plans.registry import Registry
@@ -217,6 +218,36 @@ def annotate(spark, sf_dir):
     return rounded(FT.annotate(documents(spark, sf_dir)))
 
 
+_HMM_SQL = f"""
+WITH {Q.annotations()}
+SELECT doc_id, count(*)::bigint AS n_tokens, count(DISTINCT sent_id)::bigint AS n_sentences,
+  count(*) FILTER (WHERE pos = 'PUNCT')::bigint AS n_punct, count(*) FILTER (WHERE pos = 'SYM')::bigint AS n_sym,
+  count(*) FILTER (WHERE pos = 'CCONJ')::bigint AS n_cconj, count(*) FILTER (WHERE is_stop)::bigint AS n_stop,
+  0::bigint AS n_untagged, true AS likelihood_grew
+FROM ann GROUP BY doc_id"""
+
+
+@query(_HMM_SQL)
+def hmm_tag_counts(spark, sf_dir):
+    """Tokens by the tags of the model that is fitted on all documents.  The SQL knows the tags that do
+    not depend on the neighbours; the others are tested by enumeration and hand-tagged sentences."""
+    docs = documents(spark, sf_dir)
+    model = fit_hmm_tagger(docs)
+    grown = model.log_likelihood
+    return rounded(
+        model.annotate(docs)
+        .groupBy("doc_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_tokens"),
+            (F.max("sent_id") + 1).alias("n_sentences"),
+            *[F.count_if(c("pos") == t).alias(f"n_{t.lower()}") for t in ("PUNCT", "SYM", "CCONJ")],
+            F.count_if("is_stop").alias("n_stop"),
+            F.count_if(c("pos").isNull()).alias("n_untagged"),
+        )
+        .withColumn("likelihood_grew", F.lit(all(a < b for a, b in zip(grown, grown[1:], strict=False))))
+    )
+
+
 _SHARE_SQL = """
 WITH {ann},
 cnt AS (SELECT doc_id, {label} AS l, count(*) AS n FROM ann WHERE {keep} GROUP BY ALL),
