@@ -6,7 +6,8 @@ Every line with a word is labelled good or bad.  Its score is linear in features
 its two neighbours; neighbouring labels are tied by a 2 x 2 transition table.  Training lines take
 their document's label.  The model is fitted on a bounded, documented sample: ``max_train`` labelled
 documents outside the held-out fold, those with the smallest hash of their id, whole texts (chains
-longer than 64 lines are cut there for fitting only).  Scoring runs forward-backward over all lines
+longer than 64 lines are cut there for fitting only).  Of these a document is left out where it would
+take the sample past ``max_lines`` lines, so the sample's size does not depend on how long texts are.  Scoring runs forward-backward over all lines
 of every document; the lines' marginals, weighted by their words, give the document's share of good
 text, and a two-parameter logistic curve fitted on the same sample turns that into its score.
 
@@ -14,7 +15,8 @@ Labels, language, source and id are no inputs of a score.
 
 Nulls and limits: a null, empty or blank text counts as one line without words.  A null id is scored,
 is not held out and never trains.  Null labels are ignored; a document labelled twice counts as good
-if any label says so.  Rows that share an id all train while there are at most ``max_train`` rows.
+if any label says so.  Rows that share an id all train while there are at most ``max_train`` rows;
+equal rows train once.
 Without usable labels every score is 0.5.  Repeated rows stay and score alike.  Extra columns are
 ignored.  An empty table gives an empty table.
 """
@@ -32,6 +34,7 @@ from pyspark.sql import types as T
 
 FOLDS = 5
 MAX_TRAIN = 4000
+MAX_LINES = 1_000_000
 CUT = 0.3
 SEGMENT = 64
 BYTES_AT_ONCE = 2_000_000
@@ -220,12 +223,32 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
+def within(sizes: list[int], bound: int) -> list[bool]:
+    """Which of the sizes, in their order, fit together below the bound; one that does not fit is left out."""
+    left, out = bound, []
+    for size in sizes:
+        out.append(size <= left)
+        left -= size if size <= left else 0
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> Model | None:
     """``docs``: doc_id, raw (binary text); ``labels``: doc_id, quality."""
     known = labels.where("quality is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("good"))
     chosen = known.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_train)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "raw", "good")
+    lines = F.regexp_count(F.col("raw").cast("string"), F.lit("\n")) + 1
+    sample = docs.join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "raw", "good", F.xxhash64("raw").alias("same"), F.coalesce(lines, F.lit(1)).alias("lines")
+    )
+    # The bound on documents holds for rows too, should many share an id.
+    order = F.xxhash64(F.col("doc_id").cast("string"), "same")
+    listed = sample.select("doc_id", "same", "lines").distinct().orderBy(order, "doc_id", "same").limit(max_train).collect()
+    fit_in = within([r["lines"] for r in listed], max_lines)
+    used = [(r["doc_id"], r["same"]) for r, fits in zip(listed, fit_in, strict=True) if fits]
+    named = docs.sparkSession.createDataFrame(used, sample.select("doc_id", "same").schema)
+    sample = sample.join(F.broadcast(named), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"])
+    sample = sample.select("doc_id", "raw", "good")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,8 +267,6 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
         ]
     )
     made = sample.mapInArrow(run, schema)
-    # The bound holds for rows too, should many share an id.
-    made = made.orderBy(F.xxhash64(F.col("doc_id").cast("string"), "x"), "doc_id", "x").limit(max_train)
     rows = sorted(made.collect(), key=lambda r: (r["doc_id"], r["x"]))
     if not rows:
         return None
@@ -256,11 +277,16 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
 
 def score(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_train: int = MAX_TRAIN,
+    max_lines: int = MAX_LINES,
 ) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    model = train(picked, labels, max_train)
+    model = train(picked, labels, max_train, max_lines)
     schema = T.StructType([picked.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,3 +84,23 @@ def test_odd_tables(spark):
     none = op.score(docs_frame(spark, ODD), frame(spark, [])).collect()
     assert {(r["score"], r["predicted"]) for r in none} == {(0.5, 1)}
     assert op.score(docs_frame(spark, []), frame(spark, labels)).count() == 0
+
+
+def test_sample_is_bounded_in_lines(spark):
+    assert op.within([5, 100, 3, 2, 1], 10) == [True, False, True, True, False]
+    rows, labels = corpus(200)
+    rows, labels = [*rows, (9001, "Z Z! #$ 7\n" * 5000)], [*labels, (9001, 1)]
+    assert zlib.crc32(b"9001") % 5 != 0
+    docs = docs_frame(spark, rows)
+    bounded = {r["doc_id"]: r["score"] for r in op.score(docs, frame(spark, labels), max_lines=4000).collect()}
+    without = {r["doc_id"]: r["score"] for r in op.score(docs, frame(spark, labels[:-1]), max_lines=4000).collect()}
+    assert bounded == without and bounded.keys() == {r[0] for r in rows}
+    none = op.score(docs, frame(spark, labels), max_lines=0).collect()
+    assert {r["score"] for r in none} == {0.5}
+
+
+def test_equal_rows_train_once(spark):
+    rows, labels = corpus(120)
+    once = {r["doc_id"]: r["score"] for r in op.score(docs_frame(spark, rows), frame(spark, labels)).collect()}
+    twice = op.score(docs_frame(spark, rows + rows[:30] * 5), frame(spark, labels)).collect()
+    assert len(twice) == len(rows) + 150 and all(abs(r["score"] - once[r["doc_id"]]) < 1e-9 for r in twice)
