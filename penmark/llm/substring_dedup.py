@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from penmark.llm.common import KEYS, Store, row_keys
+from penmark.physical import broadcast_checked
 
 WINDOW = 35
 GRAM = 18
@@ -292,8 +293,9 @@ def repeated_ranges(docs: DataFrame, store: Store, bits: int = SKETCH_BITS, **si
     twice = counted.where("times > 1").select("gram", "a", "b", "n")
     whole = spans.join(twice, ["gram", "a", "b", "n"]).select(*KEYS, "start", "n")
 
+    # One gram may start a large share of all spans: the grams are broadcast while they are few.
     mixed = counted.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
-    asked = counted.join(mixed, "gram").select("one.*", "n", "times")
+    asked = counted.join(broadcast_checked(store.put(mixed, "mixed")), "gram").select("one.*", "n", "times")
     asked = asked.groupBy(*KEYS).agg(F.collect_set(F.struct("start", "n", "times")).alias("wanted"))
     asked = store.put(asked, "asked")
     texts = docs.join(asked, KEYS)
