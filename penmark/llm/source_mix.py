@@ -3,8 +3,9 @@
 Style: DataFrame functions; NumPy on Arrow batches only for drawing and permuting block numbers.
 
 1. A source's documents, in the order of a hash, form one word stream, cut into blocks of
-   ``block_words`` words.  Stream offsets are prefix sums on two levels (hash bins of a source, then
-   rows of a bin), so a large source is never sorted in one task.
+   ``block_words`` words.  Stream offsets are prefix sums on three levels (hash bins of a source, equal
+   rows of one input partition, single rows), so neither a large source nor a large group of equal
+   rows is sorted in one task.
 2. Targets: a source's share by weight, at most ``max_repeat`` times its size; the excess goes to
    the others by weight.  A target becomes a number of blocks.
 3. Each output shard draws its block count per source from a multinomial whose probabilities are
@@ -19,7 +20,8 @@ A document's words are taken in at most ``ceil(target / size) <= max_repeat`` pa
 
 Nulls and limits: a null text has size 0; null sources form one source, placed last.  Empty texts are
 never taken.  Repeated rows are separate parts of the stream.  Extra columns are ignored.  Sources
-are a configuration-sized list (one driver row each).  An empty table gives an empty table.
+are a list of at most ``MAX_SOURCES`` (the plan and the draws hold a number for each); a table with
+more raises an error that says so.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from penmark.llm.common import KEYS, Store, row_keys, words
 BLOCK_WORDS = 128
 SHARD_BLOCKS = 4096
 MAX_REPEAT = 3
+MAX_SOURCES = 10_000
 SEED = 17
 
 
@@ -113,7 +116,9 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def source_plan(rows: DataFrame, weights: list[float], block_words: int = BLOCK_WORDS, max_repeat: int = MAX_REPEAT) -> list[dict]:
     """One entry per source in code-point order, null last: number, size, target, blocks, quota."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [int(r["size"] or 0) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], max_repeat)
@@ -128,13 +133,19 @@ def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row's pieces of its source's blocks: ``no, block, row, at, len``, ``no`` the source's number."""
     some = rows.where("size > 0")
     bins = isqrt(some.count()) + 1  # bins per source and rows per bin grow alike
-    binned = some.withColumn("bin", F.pmod(F.shiftright("place", 20), F.lit(bins)))
-    by_bin = binned.groupBy("no", "bin").agg(F.sum("size").alias("bin_size"))
+    # Row numbers hold the input partition in their upper bits, so equal rows of a partition lie together.
+    equal = ["no", "bin", *KEYS, "part"]
+    binned = some.withColumn("bin", F.pmod(F.shiftright("place", 20), F.lit(bins))).withColumn("part", F.shiftright("row", 33))
+    groups = binned.groupBy(*equal).agg(F.first("place").alias("place"), F.sum("size").alias("all"))
+    by_bin = groups.groupBy("no", "bin").agg(F.sum("all").alias("bin_size"))
     before = F.sum("bin_size").over(Window.partitionBy("no").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     by_bin = by_bin.select("no", "bin", F.coalesce(before, F.lit(0)).alias("bin_start"))
-    order = Window.partitionBy("no", "bin").orderBy("place", *KEYS, "row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = binned.withColumn("own", F.sum("size").over(order) - F.col("size")).join(by_bin, ["no", "bin"])
-    placed = placed.select("no", "row", "size", (F.col("bin_start") + F.col("own")).alias("start"))
+    order = Window.partitionBy("no", "bin").orderBy("place", *KEYS, "part").rowsBetween(Window.unboundedPreceding, 0)
+    groups = groups.withColumn("ahead", F.sum("all").over(order) - F.col("all")).join(by_bin, ["no", "bin"])
+    groups = groups.select(*equal, (F.col("bin_start") + F.col("ahead")).alias("group_start"))
+    within = Window.partitionBy(*equal).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = binned.withColumn("own", F.sum("size").over(within) - F.col("size")).join(groups, equal)
+    placed = placed.select("no", "row", "size", (F.col("group_start") + F.col("own")).alias("start"))
     blocks = F.sequence(
         F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     )

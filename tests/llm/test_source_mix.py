@@ -102,3 +102,22 @@ def test_odd_tables(spark):
     assert op.Mix(docs_frame(spark, [])).taken().count() == 0
     assert op.mixed_documents(docs_frame(spark, [])).count() == 0
     assert op.mixed_documents(docs_frame(spark, [(1, None), (2, "")])).count() == 0
+
+
+def test_equal_rows_are_separate_parts_of_the_stream(spark):
+    rows = [(1, "one two three", "en", "a")] * 400 + [(i, f"x{i} y", "en", "a") for i in range(2, 60)]
+    mix = op.Mix(docs_frame(spark, rows).repartition(7), block_words=16, shard_blocks=8)
+    pieces = sorted((r["block"], r["len"]) for r in mix.pieces.collect())
+    total = sum(len(words(r[1])) for r in rows)
+    filled = {}
+    for block, n in pieces:
+        filled[block] = filled.get(block, 0) + n
+    assert filled == {b: min(16, total - 16 * b) for b in range(-(-total // 16))}
+    again = op.Mix(docs_frame(spark, rows[::-1]).repartition(3), block_words=16, shard_blocks=8)
+    assert sorted(map(tuple, mix.taken().collect())) == sorted(map(tuple, again.taken().collect()))
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(op, "MAX_SOURCES", 3)
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        op.Mix(docs_frame(spark, [(i, "a b", "en", f"s{i}") for i in range(4)]))
