@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +49,36 @@ FAMILIES = ["connector_counts", "pos_shares", "punct_shares"]
 def annotate(df: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """Token table ``(doc_id, sent_id, tok_id, token, pos, dep, is_alpha, is_stop, is_punct)``.
 
-    The default rules are one projection.  ``tagger`` receives Arrow batches of
+    The default rules are one pass without a shuffle.  ``tagger`` receives Arrow batches of
     ``(doc_id, text)`` and yields rows of the same schema."""
     source = df.select("doc_id", F.col(text).alias("text"))
     if tagger is not None:
         return source.mapInPandas(tagger, ANNOTATION_SCHEMA)
-    return inline_computed(source, G.annotation(K.sentences(F.col("text"))), "token", ["doc_id"])
+    schema = T.StructType([source.schema["doc_id"], *ANNOTATION_SCHEMA.fields[1:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [pa.array(G.TAGS), pa.array(G.DEPS)]
+        for batch in batches:
+            at = 0
+            for part in G.token_slices(batch.column(1)):
+                t = G.tag_tokens(part)
+                alpha = pc.match_substring_regex(t.words, K.IS_ALPHA_RE).to_numpy(zero_copy_only=False)
+                stop = pc.is_in(t.low, pa.array(FUNCTION_WORDS)).to_numpy(zero_copy_only=False)
+                columns = [
+                    batch.column(0).take(pa.array(at + t.row)),
+                    pa.array(t.sent_id.astype(np.int32)),
+                    pa.array(t.tok_id.astype(np.int32)),
+                    t.words.take(pa.array(t.code)),
+                    *[n.take(pa.array(x)) for n, x in zip(names, (t.pos, t.dep), strict=True)],
+                    pa.array(alpha[t.code]),
+                    pa.array(stop[t.code]),
+                    pa.array(t.pos == G.TAGS.index("PUNCT")),
+                ]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    marks = G.sentence_marks(K.sentences(F.col("text")))
+    return source.select("doc_id", marks.alias("marks")).mapInArrow(run, schema)
 
 
 def with_tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +113,7 @@ def linguistic_features(
     base = with_tokens(df, text, keep)
     annotated = base.withColumns(
         {
-            "ann": G.annotation(F.col("sentences"), list(stop)),
+            "tags": G.annotation_counts(F.col("sentences")),
             "sentence_lengths": L.sentence_lengths(F.col("sentences")),
             "connector_counts": C.connector_counts(F.col("stripped"), connectors),
             "sentiment": S.sentiment(F.col("marks")),
@@ -104,7 +131,7 @@ def linguistic_features(
         L.mean_word_length(c("alpha")).alias("mean_word_length"),
         L.stopword_ratio(c("marks"), c("alpha"), stop).alias("stopword_ratio"),
         L.mean_sentence_words(c("sentences")).alias("mean_sentence_words"),
-        G.syntactic_complexity(c("ann"), num_sentences).alias("syntactic_complexity"),
+        G.syntactic_complexity(c("tags"), num_sentences).alias("syntactic_complexity"),
         c("sentiment.polarity").alias("polarity"),
         c("sentiment.subjectivity").alias("subjectivity"),
         L.ngram_diversity(c("terms"), c("alpha")).alias("ngram_diversity"),
@@ -118,13 +145,13 @@ def linguistic_features(
         C.unique_connectors(c("connector_counts")).alias("unique_connectors"),
         L.flesch(c("text")).alias("flesch"),
         L.lexical_entropy(c("words")).alias("lexical_entropy"),
-        G.dep_repetition(c("ann")).alias("dep_repetition"),
+        G.dep_repetition(c("tags")).alias("dep_repetition"),
         unusual.alias("unusual_word_ratio"),
         K.ngram_density(num_tokens, 2).alias("2-grams"),
         K.ngram_density(num_tokens, 3).alias("3-grams"),
         "connector_counts",
-        G.pos_shares(c("ann"), num_alpha).alias("pos_shares"),
-        G.punct_shares(c("ann"), num_alpha).alias("punct_shares"),
+        G.pos_shares(c("tags"), num_alpha).alias("pos_shares"),
+        G.punct_shares(c("tags"), num_alpha).alias("punct_shares"),
     )
     if isinstance(common_words, DataFrame):
         ratios = unusual_words(df.select("doc_id", F.col(text).alias("text")), common_words)
