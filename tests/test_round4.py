@@ -1,10 +1,14 @@
 """Row-local work on tokens runs in Arrow batches, not token by token in interpreted expressions."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from penmark.functions import tagging as G
 from penmark.functions import tokens as K
+from penmark.functions.lexicon import FUNCTION_WORDS
 from penmark.operators.features import annotate, linguistic_features
+from penmark.operators.style import TRIGRAM_BUCKETS, style_vectors
 
 
 def plan_of(df):
@@ -51,3 +55,21 @@ def test_counts_follow_the_annotation(spark):
         p: sum(r["pos"] == p for r in rows) for p in {r["pos"] for r in rows}
     }
     assert counts[0]["clauses"] == sum(r["dep"] in G.CLAUSE_DEPS for r in rows)
+
+
+def test_style_vector_counts_trigrams_and_words(spark):
+    texts = ["The cat of the hat", "", "ab", None, "a😀bc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    df = style_vectors(rows)
+    assert "regexp_extract_all(lower(text), (?s)(?=(...))" not in plan_of(df) and "ArrowEvalPython" in plan_of(df)
+    got = [r["style"] for r in df.collect()]
+    width = len(set(FUNCTION_WORDS))
+    assert got[3] is None and set(got[1]) == set(got[2]) == {0.0} and len(got[1]) == width + TRIGRAM_BUCKETS
+    words = Counter({"the": 2, "of": 1})
+    low = texts[0].lower()
+    grams = Counter((ord(a) * 961 + ord(b) * 31 + ord(c)) % TRIGRAM_BUCKETS for a, b, c in zip(low, low[1:], low[2:], strict=False))
+    for counts, begin, names in ((words, 0, sorted(set(FUNCTION_WORDS))), (grams, width, range(TRIGRAM_BUCKETS))):
+        length = sum(n * n for n in counts.values()) ** 0.5
+        assert got[0][begin : begin + len(names)] == [counts[k] / length for k in names]
+    # As before: a character outside the basic plane gives one more trigram.
+    assert sum(x > 0 for x in got[4][width:]) == 3
