@@ -8,6 +8,7 @@ from penmark.functions import tagging as G
 from penmark.functions import tokens as K
 from penmark.functions.lexicon import FUNCTION_WORDS
 from penmark.operators.features import annotate, linguistic_features
+from penmark.operators.ngram_lm import _summed_answers
 from penmark.operators.style import TRIGRAM_BUCKETS, style_vectors
 
 
@@ -73,3 +74,14 @@ def test_style_vector_counts_trigrams_and_words(spark):
         assert got[0][begin : begin + len(names)] == [counts[k] / length for k in names]
     # As before: a character outside the basic plane gives one more trigram.
     assert sum(x > 0 for x in got[4][width:]) == 3
+
+
+def test_answered_bigrams_are_added_up_before_the_shuffle(spark):
+    rows = [(i % 3 if i % 3 else None, n, -1.5 * n, 2.0 * n, i if i % 2 else None, 7) for i, n in enumerate([1, 2, 3, 4, 5, 6])]
+    rows.append((9, None, None, None, None, None))
+    df = spark.createDataFrame(rows, "doc_id long, n int, np double, nh double, u long, v long").coalesce(1)
+    out = _summed_answers(df).collect()
+    sums = {r["doc_id"]: (r["n"], r["np"], r["nh"]) for r in out if r["u"] is None}
+    assert sums == {None: (5, -7.5, 10.0), 1: (7, -10.5, 14.0), 2: (9, -13.5, 18.0), 9: (None, None, None)}
+    asked = sorted((r["u"], r["v"], r["w"]) for r in out if r["u"] is not None)
+    assert asked == [(1, 7, 2), (3, 7, 4), (5, 7, 6)] and len(out) == 7
