@@ -10,6 +10,7 @@ from penmark.functions.lexicon import FUNCTION_WORDS
 from penmark.operators.features import annotate, linguistic_features
 from penmark.operators.ngram_lm import _summed_answers
 from penmark.operators.style import TRIGRAM_BUCKETS, style_vectors
+from penmark.operators.tfidf import TfidfModel
 
 
 def plan_of(df):
@@ -76,6 +77,29 @@ def test_style_vector_counts_trigrams_and_words(spark):
     assert sum(x > 0 for x in got[4][width:]) == 3
 
 
+def test_listed_terms_are_counted_without_making_other_ngrams(spark):
+    texts = [(1, "New york new YORK city of ny"), (1, "city"), (2, ""), (3, None), (None, "york city hall york")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    terms = ["city", "new york", "new york city of", "york", "york city"]
+    model = TfidfModel([(t, i, 9, 9, float(i + 2)) for i, t in enumerate(sorted(terms))], 5, (1, 4))
+    df = model.transform_long(docs)
+    assert "MapInArrow" in plan_of(df) and "array_compact" not in plan_of(df)
+    counts = Counter()
+    for key, text in texts:
+        words = (text or "").lower().split()
+        grams = [" ".join(words[i : i + n]) for n in range(1, 5) for i in range(len(words) - n + 1)]
+        counts.update((key, t) for t in grams if t in terms)
+    x = {k: n * (sorted(terms).index(k[1]) + 2.0) for k, n in counts.items()}
+    got = Counter()
+    for r in df.collect():
+        got[r["doc_id"], r["term"]] += r["tfidf"]
+    # Rows with one key share their length, so "city" of the first key has two entries.
+    squares = Counter({1: 2 * 2.0**2 + sum(v * v for (k, t), v in x.items() if k == 1 and t != "city")})
+    squares[None] = sum(v * v for (k, _), v in x.items() if k is None)
+    assert got.keys() == x.keys()
+    assert all(abs(v - x[k] / squares[k[0]] ** 0.5) < 1e-12 for k, v in got.items())
+
+
 def test_answered_bigrams_are_added_up_before_the_shuffle(spark):
     rows = [(i % 3 if i % 3 else None, n, -1.5 * n, 2.0 * n, i if i % 2 else None, 7) for i, n in enumerate([1, 2, 3, 4, 5, 6])]
     rows.append((9, None, None, None, None, None))
