@@ -37,7 +37,7 @@ def rf_importances(
     filled = ImputeMean.fit(packed, "x").transform(packed, "x").select(label, "x")
     forest = RandomForestClassifier(
         labelCol=label, featuresCol="features", numTrees=trees, maxDepth=max_depth, seed=seed,
-        featureSubsetStrategy="sqrt",
+        featureSubsetStrategy="sqrt", cacheNodeIds=True,
     )
     fitted = forest.fit(_vector_column(filled, "x"))
     rows = list(zip(cols, (float(v) for v in fitted.featureImportances.toArray()), strict=True))
