@@ -79,6 +79,8 @@ def _spaces(text: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 def _counted(text: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Sentences, words and syllables of the lower-cased texts that lie side by side in ``text``."""
+    if not len(text):
+        return [np.zeros(len(offsets) - 1, np.int32) for _ in range(3)]
     first, last = (np.zeros(len(text), bool) for _ in range(2))
     begun = offsets[:-1][np.diff(offsets) > 0]
     first[begun], last[np.r_[begun[1:], len(text)] - 1] = True, True
